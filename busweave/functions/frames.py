@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from busweave import constants as K
-from busweave.functions.text import WS, collapse_blanks
+from busweave.functions.text import WS, collapse_blanks, strip
 
 _REGULAR = r"^[0-9a-f]{2}( [0-9a-f]{2})*$"
 MAX_BITS = 64
@@ -28,9 +28,9 @@ def frame(payload: Column) -> Column:
     ``hex`` has two characters per byte; a token that is no byte is held as
     ``..`` so that only signals touching it are refused.
     """
-    clean = F.lower(collapse_blanks(payload))
-    regular = clean.rlike(_REGULAR)
-    tokens = payload_bytes(clean)
+    # Extracted payloads are regular already; only others pay for clean-up.
+    regular = payload.rlike(_REGULAR)
+    tokens = payload_bytes(F.lower(collapse_blanks(payload)))
     patched = F.array_join(
         F.transform(
             tokens,
@@ -40,10 +40,13 @@ def frame(payload: Column) -> Column:
         ),
         "",
     )
-    compact = F.when(regular, F.replace(clean, F.lit(" "), F.lit(""))).otherwise(patched)
+    compact = F.when(regular, F.replace(payload, F.lit(" "), F.lit(""))).otherwise(patched)
     first_two = F.concat(F.get(tokens, 0), F.get(tokens, 1))
     frame_id = F.when(
-        regular, F.when(F.length(clean) >= 5, F.left(compact, F.lit(4)))
+        regular,
+        F.when(
+            F.length(payload) >= 5, F.concat(F.left(payload, F.lit(2)), F.substring(payload, 4, 2))
+        ),
     ).otherwise(first_two)
     return F.struct(
         F.upper(frame_id).alias("id"),
@@ -184,8 +187,6 @@ def start_bit_of(start: Column) -> Column:
 
 def choice_map(choices: Column) -> Column:
     """Choice labels stripped; no choices at all becomes the empty map."""
-    from busweave.functions.text import strip
-
     empty = F.create_map().cast("map<string,string>")
     return F.coalesce(F.transform_values(choices, lambda _, v: strip(v)), empty)
 

@@ -84,28 +84,28 @@ def _id_from_hex(digits: Column) -> Column:
     )
 
 
-def _four_groups(line: Column, pattern: str) -> Column:
-    """All groups of one regex pass as an array, null when the line does not fit.
+def rx_joined(line: Column) -> Column:
+    """Groups of a received message joined by a separator, or the line unchanged.
 
-    A fitting line is replaced by its groups, which drops the literal parts and
-    so can never give the line back unchanged.
+    Service and method are hexadecimal in the text.  One pattern pass yields all
+    groups.  A fitting line loses its literal parts and so never comes back
+    unchanged.
     """
-    joined = F.regexp_replace(line, pattern, _JOINED_GROUPS)
-    return F.when(joined != line, F.split(joined, _SEP, 4))
+    return F.regexp_replace(line, _RX_LINE, _JOINED_GROUPS)
 
 
-def rx_fields(line: Column) -> Column:
-    """Received message: service and method are hexadecimal in the text."""
-    return _four_groups(line, _RX_LINE)
+def tx_joined(line: Column) -> Column:
+    """As :func:`rx_joined` for a sent message, whose ids are decimal."""
+    return F.regexp_replace(line, _TX_LINE, _JOINED_GROUPS)
 
 
-def tx_fields(line: Column) -> Column:
-    """Sent message: service and method are decimal in the text."""
-    return _four_groups(line, _TX_LINE)
+def groups_of(joined: Column, line: Column) -> Column:
+    """The four groups, or null when the line did not fit."""
+    return F.when(joined != line, F.split(joined, _SEP, 4))
 
 
 def rx_message(groups: Column) -> dict[str, Column]:
-    """Message fields of :func:`rx_fields`."""
+    """Message fields of received groups."""
     return {
         "time": groups[0],
         "type": F.lit("rx"),
@@ -116,7 +116,7 @@ def rx_message(groups: Column) -> dict[str, Column]:
 
 
 def tx_message(groups: Column) -> dict[str, Column]:
-    """Message fields of :func:`tx_fields`."""
+    """Message fields of sent groups."""
     return {
         "time": groups[0],
         "type": F.lit("tx"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from busweave import constants as K
 from busweave.functions import text as X
 from busweave.operators.computed import with_computed
 
@@ -12,40 +13,54 @@ def filter_message_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.filter(X.is_message_line(F.col(column)))
 
 
+def _holds(marker: str) -> Column:
+    """The patterns ignore case, unlike the prefilter."""
+    return F.lower("value").contains(marker.lower())
+
+
 def _other_columns(lines: DataFrame) -> list[str]:
     return [c for c in lines.columns if c != "value"]
 
 
+def _with_groups(lines: DataFrame, name: str, joined: Column) -> DataFrame:
+    """Add the pattern groups of each line; the pattern runs once per line."""
+    text = f"{name}_text"
+    return lines.withColumn(text, joined).withColumn(
+        name, X.groups_of(F.col(text), F.col("value"))
+    )
+
+
+def _received(lines: DataFrame) -> DataFrame:
+    return _with_groups(lines, "_rx", F.when(_holds(K.RX_MARKER), X.rx_joined(F.col("value"))))
+
+
+def _sent(lines: DataFrame, untried: Column | None = None) -> DataFrame:
+    wanted = _holds(K.TX_MARKER) if untried is None else untried & _holds(K.TX_MARKER)
+    return _with_groups(lines, "_tx", F.when(wanted, X.tx_joined(F.col("value"))))
+
+
+def _both(lines: DataFrame) -> DataFrame:
+    """Groups as received, else as sent.
+
+    The costly patterns run only on lines that hold a marker text, tested by a
+    plain substring search.
+    """
+    return _sent(_received(lines), F.col("_rx").isNull())
+
+
 def extract_rx_messages(lines: DataFrame) -> DataFrame:
     """Received messages only; all other columns of the lines are kept."""
-    grouped = lines.withColumn("_rx", X.rx_fields(F.col("value")))
     groups = F.col("_rx")
     return with_computed(
-        grouped, X.rx_message(groups), groups.isNotNull(), _other_columns(lines)
+        _received(lines), X.rx_message(groups), groups.isNotNull(), _other_columns(lines)
     )
 
 
 def extract_tx_messages(lines: DataFrame) -> DataFrame:
-    grouped = lines.withColumn("_tx", X.tx_fields(F.col("value")))
     groups = F.col("_tx")
     return with_computed(
-        grouped, X.tx_message(groups), groups.isNotNull(), _other_columns(lines)
-    )
-
-
-def _with_groups(lines: DataFrame) -> DataFrame:
-    """Pattern groups as received and as sent.
-
-    The costly patterns run only on lines that hold a marker text, tested by a
-    plain substring search, and a line that fits as received is not tried again.
-    """
-    line = F.col("value")
-    holds = lambda marker: F.lower(line).contains(marker)
-    rx = F.when(holds("someipcomm :: rx message"), X.rx_fields(line))
-    tx = F.when(
-        F.col("_rx").isNull() & holds("tx message someipcomm::send"), X.tx_fields(line)
+        _sent(lines), X.tx_message(groups), groups.isNotNull(), _other_columns(lines)
     )
-    return lines.withColumn("_rx", rx).withColumn("_tx", tx)
 
 
 def _either(rx: Column, tx: Column) -> dict[str, Column]:
@@ -63,7 +78,7 @@ def with_message(lines: DataFrame, name: str = "message") -> DataFrame:
     fields = F.struct(*[c.alias(n) for n, c in _either(rx, tx).items()])
     found = rx.isNotNull() | tx.isNotNull()
     return with_computed(
-        _with_groups(lines), {name: F.when(found, fields)}, keep=lines.columns
+        _both(lines), {name: F.when(found, fields)}, keep=lines.columns
     )
 
 
@@ -71,7 +86,7 @@ def extract_messages(lines: DataFrame) -> DataFrame:
     """Five fields per message line; other lines are dropped."""
     rx, tx = F.col("_rx"), F.col("_tx")
     return with_computed(
-        _with_groups(lines),
+        _both(lines),
         _either(rx, tx),
         rx.isNotNull() | tx.isNotNull(),
         _other_columns(lines),

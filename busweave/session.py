@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -22,6 +21,7 @@ def local_session(cpus: int | str = 8, app: str = "busweave") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -46,12 +46,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def fixed_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small constant table as literals, so that its size is known to the planner."""
-    fields = StructType.fromDDL(schema).fields
-    entries = [
-        F.struct(*[
-            F.lit(value).cast(field.dataType).alias(field.name)
-            for value, field in zip(row, fields)
-        ])
-        for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*entries)))
+    columns = [field.split() for field in schema.split(",")]
+
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(value).lower() if isinstance(value, bool) else repr(value)
+
+    values = ", ".join(f"({', '.join(map(literal, row))})" for row in rows)
+    casts = ", ".join(f"CAST(c{i} AS {kind}) AS {name}" for i, (name, kind) in enumerate(columns))
+    aliases = ", ".join(f"c{i}" for i in range(len(columns)))
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({aliases})")

@@ -31,48 +31,41 @@ def target() -> Column:
 
 # --- log text ---------------------------------------------------------------
 
+_LOG_TEXT = """
+  CASE WHEN event_id % 13 = 5 THEN concat('    at frame ', event_id)
+    WHEN event_type IN ('view', 'click') THEN concat(
+      head, 'D vehicle-service: SomeipCOmm :: RX Message [0/', lower(hex(event_id)),
+      ']:service:', lower(hex(191 + user_id % 4)),
+      ' ,Method:', lower(hex(32768 + event_id % 3)), ',payload:', payload, ' ')
+    WHEN event_type IN ('signup', 'purchase') THEN concat(
+      head, 'D vehicle-service: TX Message SomeipComm::send  : service:', 193 + user_id % 4,
+      ',method:', 1 + event_id % 3, ', response Payload: ', upper(payload), ' ')
+    ELSE concat(head, 'I link-layer: inst 0 rx count : ', event_id) END
+"""
+_LOG_PAYLOAD = """
+  concat_ws(' ', '01', lpad(lower(hex(150 + event_id % 3)), 2, '0'),
+    if(event_id % 7 = 0, '00', '01'), lpad(lower(hex(v % 256)), 2, '0'),
+    lpad(lower(hex((v div 256) % 256)), 2, '0'), lpad(lower(hex(user_id % 256)), 2, '0'),
+    if(event_id % 11 = 0, null, 'ff'))
+"""
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(line_no, file_path, value)``: message, status and continuation lines."""
-    events = table(spark, sf_dir, "events")
-    e, u = F.col("event_id"), F.col("user_id")
-    hex_ = lambda n: F.lower(F.hex(n.cast("bigint")))
-    hex2 = lambda n: F.lpad(hex_(n), 2, "0")
-    v = F.floor(F.col("value") * 100)
-    payload = F.concat_ws(
-        " ",
-        F.lit("01"),
-        hex2(150 + e % 3),
-        F.when(e % 7 == 0, "00").otherwise("01"),
-        hex2(v % 256),
-        hex2(F.floor(v / 256) % 256),
-        hex2(u % 256),
-        F.when(e % 11 != 0, "ff"),
-    )
-    head = F.concat(F.date_format("ts", "MM-dd HH:mm:ss.SSS"), F.lit("   612   634 "))
-    received = F.concat(
-        head, F.lit("D vehicle-service: SomeipCOmm :: RX Message [0/"), hex_(e),
-        F.lit("]:service:"), hex_(191 + u % 4), F.lit(" ,Method:"), hex_(32768 + e % 3),
-        F.lit(",payload:"), payload, F.lit(" "),
-    )
-    sent = F.concat(
-        head, F.lit("D vehicle-service: TX Message SomeipComm::send  : service:"),
-        (193 + u % 4).cast("string"), F.lit(",method:"), (1 + e % 3).cast("string"),
-        F.lit(", response Payload: "), F.upper(payload), F.lit(" "),
-    )
-    status = F.concat(head, F.lit("I link-layer: inst 0 rx count : "), e.cast("string"))
-    value = (
-        F.when(e % 13 == 5, F.concat(F.lit("    at frame "), e.cast("string")))
-        .when(F.col("event_type").isin("view", "click"), received)
-        .when(F.col("event_type").isin("signup", "purchase"), sent)
-        .otherwise(status)
+    """``(line_no, file_path, value)``: message, status and continuation lines.
+
+    Computed once, so that operators see a plain text column as in a file.
+    """
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "event_type", "floor(value * 100) AS v",
+        "concat(date_format(ts, 'MM-dd HH:mm:ss.SSS'), '   612   634 ') AS head",
     )
-    # Computed once, so that operators see a plain column as they would in a file.
+    parts = events.selectExpr("*", f"{_LOG_PAYLOAD} AS payload")
     return with_computed(
-        events,
+        parts,
         {
-            "line_no": e,
-            "file_path": F.concat(F.lit("log_"), (u % 4).cast("string")),
-            "value": value,
+            "line_no": F.col("event_id"),
+            "file_path": F.expr("concat('log_', user_id % 4)"),
+            "value": F.expr(_LOG_TEXT),
         },
         keep=[],
     )
@@ -154,18 +147,31 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- catalogue, signal lists, properties ------------------------------------
 
 def message_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (service, method, type) of the log, named."""
-    kinds = messages(spark, sf_dir).select("service_id", "method_id", "type").distinct()
+    """One message kind per customer: the first ones occur in the log, others do not."""
+    k = F.col("c_custkey")
+    received, sent = k < 12, k < 24
+    step = F.floor(k % 12 / 4)
+    service = F.when(received, 191 + k % 4).when(sent, 193 + k % 4).otherwise(1000 + k)
+    method = F.when(received, 32768 + step).when(sent, 1 + step).otherwise(k)
+    kinds = with_computed(
+        table(spark, sf_dir, "customer"),
+        {
+            "row_no": k,
+            "service_id": service,
+            "method_id": method,
+            "direction": F.when(received | (k % 2 == 0) & ~sent, "rx").otherwise("tx"),
+        },
+        keep=[],
+    )
     service, method = F.col("service_id"), F.col("method_id")
+    name = F.concat(F.lit("Msg_"), service.cast("string"), F.lit("_"), method.cast("string"))
     return kinds.select(
-        (service * 100000 + method).alias("row_no"),
-        F.concat(
-            F.lit("Msg_"), service.cast("string"), F.lit("_"), method.cast("string")
-        ).alias("message_name"),
+        (F.col("row_no") + 10).alias("row_no"),
+        name.alias("message_name"),
         (service % 2 == 0).alias("is_can"),
         "service_id",
         "method_id",
-        F.col("type").alias("direction"),
+        "direction",
     )
 
 

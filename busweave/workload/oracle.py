@@ -108,9 +108,15 @@ _CTES = {
   SELECT query_signal, try_cast('1900-' || time AS TIMESTAMP) AS ts, line_no,
     match_value AS value FROM decoded_values WHERE match_value IS NOT NULL""",
     "message_kinds": """
-  SELECT DISTINCT service_id * 100000 + method_id AS row_no,
-    'Msg_' || service_id || '_' || method_id AS message_name,
-    service_id % 2 = 0 AS is_can, service_id, method_id, type AS direction FROM messages""",
+  SELECT k + 10 AS row_no, 'Msg_' || service_id || '_' || method_id AS message_name,
+    service_id % 2 = 0 AS is_can, service_id, method_id, direction
+  FROM (SELECT c_custkey AS k,
+    CASE WHEN c_custkey < 12 THEN 191 + c_custkey % 4 WHEN c_custkey < 24
+      THEN 193 + c_custkey % 4 ELSE 1000 + c_custkey END AS service_id,
+    CASE WHEN c_custkey < 12 THEN 32768 + (c_custkey % 12) // 4 WHEN c_custkey < 24
+      THEN 1 + (c_custkey % 12) // 4 ELSE c_custkey END AS method_id,
+    CASE WHEN c_custkey < 12 OR (c_custkey >= 24 AND c_custkey % 2 = 0) THEN 'rx'
+      ELSE 'tx' END AS direction FROM customer)""",
     "catalogue": """
   SELECT * FROM message_kinds UNION ALL
   SELECT row_no + 1000000000, upper(replace(message_name, '_', '')), NOT is_can,
