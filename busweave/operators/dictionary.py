@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from busweave.functions import frames as B
 from busweave.functions.text import signal_property
-from busweave.operators.lookup import first_match_per_key, last_match_per_key
+from busweave.operators.lookup import (
+    first_match_per_key,
+    last_match_per_key,
+    left_join_large_right,
+)
 from busweave.schemas import DEFINITION_FIELDS
 
 
@@ -40,7 +44,7 @@ def build_signal_dictionary(messages: DataFrame, signals: DataFrame) -> DataFram
         union_directions(messages), ["direction", "node", "name"], "message_no"
     )
     start = F.col("start")
-    return roles.join(signals, "message_no", "left").select(
+    return left_join_large_right(roles, signals, "message_no").select(
         "direction",
         F.col("node").alias("namespace"),
         F.col("name").alias("message"),

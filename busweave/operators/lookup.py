@@ -7,6 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
+def left_join_large_right(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join whose right side may hold a hot key.
+
+    An outer join cannot split a hot key on its right side, nor broadcast its
+    left.  Hits are therefore an inner join, which can do both; left rows
+    without a partner are found against the distinct keys.
+    """
+    hits = left.join(right, key)
+    misses = left.join(right.select(key).distinct(), key, "left_anti")
+    return hits.unionByName(misses, allowMissingColumns=True)
+
+
 def _pick(df: DataFrame, keys: Sequence[str], order: str, picker) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return (

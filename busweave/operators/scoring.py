@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from busweave import constants as K
 from busweave.functions import replies as R
+from busweave.functions.text import is_message_line
 from busweave.operators.computed import with_computed
 from busweave.operators.ordered import global_position
 
@@ -147,8 +148,6 @@ def reply_counts(lines: DataFrame, replies: DataFrame) -> DataFrame:
 
     ``replies`` holds an ``outcome`` per kept line.
     """
-    from busweave.functions.text import is_message_line
-
     kept = is_message_line(F.col("value"))
     read = lines.agg(
         F.count("*").alias("read_lines"),
@@ -161,6 +160,6 @@ def reply_counts(lines: DataFrame, replies: DataFrame) -> DataFrame:
         F.count_if(outcome == "ignored").alias("ignored"),
         F.count_if(outcome == "error").alias("errors"),
     )
-    # Both sides are one row by construction; the key avoids a product.
-    keyed = lambda df: df.withColumn("_one", F.lit(1))
-    return keyed(read).join(keyed(answered), "_one").drop("_one")
+    names = read.columns + answered.columns
+    both = read.unionByName(answered, allowMissingColumns=True)
+    return both.agg(*[F.max(name).alias(name) for name in names])

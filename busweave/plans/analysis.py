@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from busweave import constants as K
+from busweave.functions.frames import definition_id
 from busweave.operators.decoding import decode_frames, decode_join, with_frame
 from busweave.operators.matching import (
     lookup_catalogue_message,
@@ -16,6 +17,7 @@ from busweave.operators.matching import (
 )
 from busweave.operators.messages import extract_messages
 from busweave.operators.windowing import filter_time_window, window_with_continuations
+from busweave.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -74,13 +76,44 @@ def analyze_properties(
     )
 
 
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write an intermediate result to the shared scratch folder and read it back.
+
+    For results that several branches of a plan use and that are costly to
+    recompute.  Written files survive lost executors and cut the lineage.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def analyze_log(
+    lines: DataFrame,
+    target: Column,
+    seconds: float,
+    file: str,
+    key: str,
+    properties: DataFrame,
+    catalogue: DataFrame,
+    noncan: DataFrame,
+    dictionary: DataFrame,
+) -> Analysis:
+    """Slice a text log by the scan rule, then analyse it.
+
+    The messages of the slice are settled, since matching reads them twice; a
+    log that is analysed often should be kept as a message table instead.
+    """
+    window = window_messages(lines, target, seconds, strict=True, file=file, key=key)
+    return analyze_properties(
+        properties, settle(window, "window"), catalogue, noncan, dictionary
+    )
+
+
 def decode_messages(messages: DataFrame, definitions: DataFrame) -> DataFrame:
     """Decode messages directly by frame id, without a property request.
 
     One pass over the messages; definitions join on the frame id.
     """
-    from busweave.functions.frames import definition_id
-
     parts = definitions.withColumn("_frame_id", definition_id(F.col("msgid")))
     pairs = with_frame(messages).join(parts, "_frame_id")
     return decode_frames(pairs).drop("_frame", "_frame_id")

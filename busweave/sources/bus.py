@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from busweave.operators.lookup import left_join_large_right
+
 
 def join_bus_messages(messages: DataFrame, signals: DataFrame) -> DataFrame:
     """One row per message and signal; messages without signals keep one row.
@@ -11,7 +13,7 @@ def join_bus_messages(messages: DataFrame, signals: DataFrame) -> DataFrame:
     ``messages``: message_no, name, frame_id, senders, receivers.
     ``signals``: message_no, signal_no, signal, start, length, choices.
     """
-    return messages.join(signals, "message_no", "left")
+    return left_join_large_right(messages, signals, "message_no")
 
 
 def read_bus_messages(spark: SparkSession, messages: str, signals: str) -> DataFrame:

@@ -34,15 +34,15 @@ def write_time_ordered(
     time_ordered(df, time, ties).write.json(path)
 
 
-def write_message_table(messages: DataFrame, path: str, ties: tuple[str, ...] = ()) -> None:
-    """Messages as Parquet by log day, clustered by ids and time.
+def write_message_table(messages: DataFrame, path: str) -> None:
+    """Messages as Parquet by log day, sorted by ids within each task.
 
-    Later analyses then read only the days of their window (partition pruning),
-    the row groups of their ids (pushed filters) and the columns they need,
-    instead of parsing the text again.  A busy day spreads over many files.
+    Later analyses read only the days of their window (partition pruning), the
+    row groups of their ids (pushed filters) and the columns they need, instead
+    of parsing text again.  Tasks write where they read: a block of a log covers
+    few days, so nothing is shuffled and the text is parsed exactly once.
     """
-    keys = ("day", "service_id", "method_id", "time", *ties)
     by_day = messages.withColumn("day", F.left("time", F.lit(5)))
-    by_day.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(
+    by_day.sortWithinPartitions("day", "service_id", "method_id", "time").write.partitionBy(
         "day"
     ).parquet(path)

@@ -14,7 +14,8 @@ from busweave.operators.computed import with_computed
 from busweave.operators.messages import extract_messages
 from busweave.plans.analysis import decode_messages
 from busweave.functions.text import log_timestamp
-from busweave.session import fixed_rows
+from busweave.session import fixed_rows, scratch_path
+from busweave.sources.sinks import write_message_table
 
 TARGET = "01-15 12:00:00.000"
 HALF_WINDOW = 6 * 3600
@@ -79,11 +80,31 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_messages(log_lines(spark, sf_dir))
 
 
+_TABLES: dict = {}
+
+
+def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as a written table: the log is parsed once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        path = scratch_path(spark, "messages")
+        write_message_table(messages(spark, sf_dir), path)
+        _TABLES[key] = path
+    found = spark.read.schema(_MESSAGE_TABLE).parquet(_TABLES[key])
+    return found.drop("day")
+
+
+_MESSAGE_TABLE = (
+    "line_no bigint, file_path string, time string, type string, service_id bigint, "
+    "method_id bigint, payload string, day string"
+)
+
+
 def messages_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of which some lack both ids."""
     gap = F.col("line_no") % 50 == 7
     keep = lambda c: F.when(~gap, F.col(c))
-    return messages(spark, sf_dir).withColumns(
+    return message_table(spark, sf_dir).withColumns(
         {"service_id": keep("service_id"), "method_id": keep("method_id")}
     )
 
@@ -134,6 +155,20 @@ def signal_table(spark: SparkSession) -> DataFrame:
     )
 
 
+def with_signals(rows: DataFrame) -> DataFrame:
+    """Every signal of the signal table under each row."""
+    names, kinds = zip(*(field.split() for field in _SIGNAL_SCHEMA.split(",")))
+    literal = lambda v: "null" if v is None else repr(v)
+    structs = ", ".join(
+        "named_struct(" + ", ".join(
+            f"'{name}', cast({literal(v)} AS {kind})" for name, kind, v in zip(names, kinds, row)
+        ) + ")"
+        for row in _SIGNALS
+    )
+    exploded = rows.selectExpr("*", f"inline(array({structs}))")
+    return exploded.withColumn("choices", _choices(F.col("signal")))
+
+
 def definitions(spark: SparkSession) -> DataFrame:
     """The signals of the first namespace and Level, each under a request name."""
     name = F.concat(F.lit("Bus__"), F.col("signal"), F.lit("_rx_v"))
@@ -141,7 +176,7 @@ def definitions(spark: SparkSession) -> DataFrame:
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_messages(messages(spark, sf_dir), definitions(spark))
+    return decode_messages(message_table(spark, sf_dir), definitions(spark))
 
 
 # --- catalogue, signal lists, properties ------------------------------------
@@ -210,14 +245,13 @@ def noncan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every signal of the signal table under every CAN message kind."""
-    kinds = message_kinds(spark, sf_dir).filter("is_can").withColumn("_all", F.lit(1))
-    entries = signal_table(spark).withColumn("_all", F.lit(1))
+    kinds = message_kinds(spark, sf_dir).filter("is_can")
     place = F.struct(
         F.col("namespace_no").alias("namespace"),
         F.col("row_no").alias("message"),
         F.col("sig_no").alias("signal"),
     )
-    return kinds.join(F.broadcast(entries), "_all").select(
+    return with_signals(kinds).select(
         "direction", "namespace", F.col("message_name").alias("message"), "signal",
         place.alias("place"),
         "msgid", "start_byte", "start_bit", "length", "choices",
@@ -246,7 +280,7 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted messages with gaps, wrong payloads, wrong services, later copies."""
     n = F.col("line_no")
-    base = messages(spark, sf_dir).select(
+    base = message_table(spark, sf_dir).select(
         (n * 2).alias("place"),
         "line_no",
         "time",
@@ -287,7 +321,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cut = F.when(n % 9 == 0, F.left(text, F.floor(F.length(text) / 2).cast("int"))).otherwise(text)
     fenced = F.when(n % 4 == 0, F.concat(F.lit("```json\n"), cut, F.lit("\n```"))).otherwise(cut)
-    return messages(spark, sf_dir).select("line_no", fenced.alias("reply"))
+    return message_table(spark, sf_dir).select("line_no", fenced.alias("reply"))
 
 
 # --- catalogue sheet --------------------------------------------------------

@@ -415,28 +415,28 @@ def decode_join(spark, sf_dir):
 @query
 def accuracy_exact(spark, sf_dir):
     return ACC.accuracy_exact(
-        D.messages(spark, sf_dir), D.found_messages(spark, sf_dir)
+        D.message_table(spark, sf_dir), D.found_messages(spark, sf_dir)
     ).select("line_no", "found_payload", "level")
 
 
 @query
 def accuracy_identity_mismatch(spark, sf_dir):
     return ACC.accuracy_identity_mismatch(
-        D.messages(spark, sf_dir), D.found_messages(spark, sf_dir)
+        D.message_table(spark, sf_dir), D.found_messages(spark, sf_dir)
     ).select("line_no", "time", "type", "service_id", "method_id")
 
 
 @query
 def accuracy_missing(spark, sf_dir):
     return ACC.accuracy_missing(
-        D.messages(spark, sf_dir), D.found_messages(spark, sf_dir)
+        D.message_table(spark, sf_dir), D.found_messages(spark, sf_dir)
     ).select("line_no", "time", "type", "service_id", "method_id")
 
 
 @query
 def accuracy_mismatch_detail(spark, sf_dir):
     return ACC.accuracy_mismatch_detail(
-        D.messages(spark, sf_dir), D.found_messages(spark, sf_dir)
+        D.message_table(spark, sf_dir), D.found_messages(spark, sf_dir)
     )
 
 
@@ -444,11 +444,10 @@ def accuracy_mismatch_detail(spark, sf_dir):
 def asof_signal_value(spark, sf_dir):
     """The value of every signal at the start of every log day's first line."""
     points = SER.all_points(D.decoded(spark, sf_dir))
-    names = D.definitions(spark).select("query_signal").withColumn("_all", F.lit(1))
-    days = D.daily_targets(spark, sf_dir).withColumn("_all", F.lit(1))
-    probes = days.join(F.broadcast(names), "_all").select(
+    signal = F.concat(F.lit("Bus__"), F.col("signal"), F.lit("_rx_v"))
+    probes = D.with_signals(D.daily_targets(spark, sf_dir)).filter("sig_no <> 6").select(
         F.replace("target_id", F.lit("-"), F.lit("")).cast("bigint").alias("probe_id"),
-        "query_signal",
+        signal.alias("query_signal"),
         F.col("target_ts").alias("ts"),
     )
     return SER.asof_signal_value(points, probes)
@@ -456,7 +455,7 @@ def asof_signal_value(spark, sf_dir):
 
 @query
 def known_pair_flag(spark, sf_dir):
-    return SAM.known_pair_flag(D.messages(spark, sf_dir)).select(
+    return SAM.known_pair_flag(D.message_table(spark, sf_dir)).select(
         "line_no", "type", "service_id", "method_id", "known"
     )
 
@@ -465,7 +464,7 @@ def known_pair_flag(spark, sf_dir):
 
 @query
 def accuracy_report(spark, sf_dir):
-    return ACC.accuracy_report(D.messages(spark, sf_dir), D.found_messages(spark, sf_dir))
+    return ACC.accuracy_report(D.message_table(spark, sf_dir), D.found_messages(spark, sf_dir))
 
 
 @query
@@ -592,7 +591,7 @@ def batch_by_length(spark, sf_dir):
 
 @query
 def first_match_per_key(spark, sf_dir):
-    found = D.messages(spark, sf_dir)
+    found = D.message_table(spark, sf_dir)
     return LOOK.first_match_per_key(found, ["service_id", "method_id"], "line_no")
 
 
@@ -657,7 +656,7 @@ def example_per_type(spark, sf_dir):
 @query
 def union_property_results(spark, sf_dir):
     """Results of all properties in one table, per property."""
-    matched = MAT.match_messages(_looked_up(spark, sf_dir), D.messages(spark, sf_dir))
+    matched = MAT.match_messages(_looked_up(spark, sf_dir), D.message_table(spark, sf_dir))
     return matched.groupBy("query_signal").agg(
         F.count("*").alias("rows"), F.count_if("matched").alias("matches")
     )
@@ -671,13 +670,13 @@ def union_directions(spark, sf_dir):
 # --- scalar functions -------------------------------------------------------
 
 def _frames(spark, sf_dir):
-    return D.messages(spark, sf_dir).withColumn("frm", B.frame(F.col("payload")))
+    return D.message_table(spark, sf_dir).withColumn("frm", B.frame(F.col("payload")))
 
 
 @query
 def payload_bytes(spark, sf_dir):
     tokens = B.payload_bytes(F.col("payload"))
-    return D.messages(spark, sf_dir).select(
+    return D.message_table(spark, sf_dir).select(
         "line_no", F.size(tokens).alias("bytes"), _joined(tokens).alias("tokens")
     )
 
@@ -781,34 +780,42 @@ def normalise_unit(spark, sf_dir):
 
 # --- user operators, whole analyses -----------------------------------------
 
-def pattern_scorer():
-    """A deterministic scorer for tests: reads the fields with a pattern."""
-    import json
-    import re
+def _pattern_scorer():
+    """Factory of a deterministic test scorer, which reads the fields with a pattern.
 
-    shape = re.compile(
-        r"(\d\d-\d\d [\d:.]+).*(RX|TX) Message .*?service:(\w+) ?,method:(\w+),"
-        r"(?: response )?payload: ?([0-9a-f ]+)$",
-        re.IGNORECASE | re.MULTILINE,
-    )
+    The factory is nested, so that it reaches the workers by value.
+    """
+
+    def make():
+        import json
+        import re
 
-    def answer(prompt):
-        found = shape.search(prompt)
-        if found is None:
-            return '{"type": "ignore"}'
-        base = 16 if found[2] == "RX" else 10
-        return json.dumps({
-            "time": found[1], "type": found[2].lower(), "serviceId": int(found[3], base),
-            "methodId": int(found[4], base), "payload": found[5].strip().lower(),
-        })
+        shape = re.compile(
+            r"(\d\d-\d\d [\d:.]+).*(RX|TX) Message .*?service:(\w+) ?,method:(\w+),"
+            r"(?: response )?payload: ?([0-9a-f ]+)$",
+            re.IGNORECASE | re.MULTILINE,
+        )
 
-    return lambda prompts, budget: [answer(p) for p in prompts]
+        def answer(prompt):
+            found = shape.search(prompt)
+            if found is None:
+                return '{"type": "ignore"}'
+            base = 16 if found[2] == "RX" else 10
+            return json.dumps({
+                "time": found[1], "type": found[2].lower(),
+                "serviceId": int(found[3], base), "methodId": int(found[4], base),
+                "payload": found[5].strip().lower(),
+            })
+
+        return lambda prompts, budget: [answer(p) for p in prompts]
+
+    return make
 
 
 @query
 def score_in_batches(spark, sf_dir):
     lines = D.log_lines(spark, sf_dir)
-    scored = SCO.score_in_batches(lines, pattern_scorer, "Parse the line.")
+    scored = SCO.score_in_batches(lines, _pattern_scorer(), "Parse the line.")
     return SCO.read_replies(scored).select(
         "line_no", "failed", "outcome", "time", "type", "service_id", "method_id", "payload"
     )
@@ -817,11 +824,9 @@ def score_in_batches(spark, sf_dir):
 @query
 def analyze_properties(spark, sf_dir):
     lines = D.timed_lines(spark, sf_dir)
-    window = ANA.window_messages(
-        lines, D.target(), D.HALF_WINDOW, strict=True, key="line_no"
-    )
-    result = ANA.analyze_properties(
-        D.properties(spark, sf_dir), window, D.catalogue(spark, sf_dir),
+    result = ANA.analyze_log(
+        lines, D.target(), D.HALF_WINDOW, "file_path", "line_no",
+        D.properties(spark, sf_dir), D.catalogue(spark, sf_dir),
         D.noncan_records(spark, sf_dir), D.dictionary(spark, sf_dir),
     )
     return _decode_columns(result.decoded)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from busweave.functions import cells as S
 from busweave.operators import catalogue as CAT
 
-NB = " "
+NB = "\u00a0"
 
 
 def one(spark, value, fn, kind="string"):
