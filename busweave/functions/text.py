@@ -126,20 +126,21 @@ def tx_message(groups: Column) -> dict[str, Column]:
     }
 
 
-def property_parts(name: Column) -> Column:
-    """Classify a requested property; the message form is tested first."""
-    as_message = name.rlike(K.MESSAGE_PROPERTY)
-    as_signal = name.rlike(K.SIGNAL_PROPERTY)
-    signal_group = lambda i: F.regexp_extract(name, K.SIGNAL_PROPERTY, i)
-    return F.struct(
-        F.when(as_message, "message").when(as_signal, "signal").alias("kind"),
-        F.when(as_message, F.regexp_extract(name, K.MESSAGE_PROPERTY, 1))
-        .when(as_signal, signal_group(1))
-        .alias("message"),
-        F.when(~as_message & as_signal, signal_group(2)).alias("signal"),
-        F.when(~as_message & as_signal, F.lower(signal_group(3))).alias("direction"),
-        F.when(~as_message & ~as_signal, "unrecognised property name").alias("error"),
-    )
+def message_property(name: Column) -> Column:
+    """Message of a ``VHAL_`` property, '' when the name has another form."""
+    return F.regexp_extract(name, K.MESSAGE_PROPERTY, 1)
+
+
+def signal_property_joined(name: Column) -> Column:
+    """Message, signal and direction of a signal property, joined in one pass.
+
+    A fitting name loses its fixed parts, so only others come back unchanged.
+    """
+    return F.regexp_replace(name, K.SIGNAL_PROPERTY, _SEP.join(("$1", "$2", "$3")))
+
+
+def signal_property_groups(joined: Column, name: Column) -> Column:
+    return F.when(joined != name, F.split(joined, _SEP, 3))
 
 
 def signal_property(message: Column, signal: Column, direction: Column) -> Column:

@@ -5,22 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from busweave import constants as K
-from busweave.functions.text import property_parts
+from busweave.functions import text as X
+from busweave.operators.computed import with_computed
 from busweave.operators.dictionary import lookup_signal_definition
 from busweave.operators.lookup import first_match_per_key
 from busweave.schemas import DEFINITION_FIELDS
 
 
 def parse_properties(names: DataFrame, column: str = "query_signal") -> DataFrame:
-    """Requests of property names; names that fit no form keep an ``error``."""
-    parts = names.withColumn("_p", property_parts(F.col(column)))
-    return parts.select(
-        *names.columns,
-        "_p.kind",
-        "_p.message",
-        "_p.signal",
-        F.col("_p.direction").alias("asked_direction"),
-        "_p.error",
+    """Requests of property names; names that fit no form keep an ``error``.
+
+    The message form is tested first.
+    """
+    name, message, groups = F.col(column), F.col("_message"), F.col("_groups")
+    staged = names.withColumn("_message", X.message_property(name)).withColumn(
+        "_joined", F.when(message == "", X.signal_property_joined(name))
+    )
+    staged = staged.withColumn("_groups", X.signal_property_groups(F.col("_joined"), name))
+    as_message, as_signal = message != "", groups.isNotNull()
+    return with_computed(
+        staged,
+        {
+            "kind": F.when(as_message, "message").when(as_signal, "signal"),
+            "message": F.when(as_message, message).otherwise(groups[0]),
+            "signal": groups[1],
+            "asked_direction": F.lower(groups[2]),
+            "error": F.when(
+                name.isNull() | (~as_message & ~as_signal), "unrecognised property name"
+            ),
+        },
+        keep=names.columns,
     )
 
 

@@ -115,7 +115,8 @@ def payload_size_histogram(samples: DataFrame) -> DataFrame:
         ~F.col("sample_type").isin(K.NOT_A_MESSAGE, "parse_error")
     )
     size = F.size(B.payload_bytes(F.coalesce("payload", F.lit(""))))
-    counted = sized.groupBy(size_class(size).alias("size_class")).agg(
+    sized = sized.withColumn("_size", size)
+    counted = sized.groupBy(size_class(F.col("_size")).alias("size_class")).agg(
         F.count("*").alias("samples")
     )
     classes = fixed_rows(

@@ -94,31 +94,43 @@ def score_in_batches(
 
         scorer = make_scorer()
 
-        def score(batch):
-            budget = int(max(low, min(int(batch["length"].max()) - less, high)))
-            size = len(batch)
+        def score(prompts, longest):
+            budget = int(max(low, min(longest - less, high)))
+            size = len(prompts)
             try:
-                replies = list(scorer(batch["prompt"].tolist(), budget))
+                replies = list(scorer(prompts, budget))
                 replies = (replies + [None] * size)[:size]
             except Exception:
                 replies = [None] * size
+            return replies, [budget] * size
+
+        def score_rows(rows):
+            """One output frame for a run of whole batches (or the last rest)."""
+            texts, lengths = rows["prompt"].tolist(), rows["length"].tolist()
+            replies, budgets = [], []
+            for at in range(0, len(texts), batch_lines):
+                # Lines are sorted, so the last of a batch is its longest.
+                batch = texts[at:at + batch_lines]
+                got, spent = score(batch, lengths[at + len(batch) - 1])
+                replies += got
+                budgets += spent
             return pd.DataFrame({
-                key: batch[key].to_numpy(),
+                key: rows[key].to_numpy(),
                 "reply": replies,
                 "failed": [reply is None for reply in replies],
-                "budget": [budget] * size,
+                "budget": budgets,
             })
 
-        waiting = None
+        rest = None
         for frame in frames:
-            if waiting is not None and len(waiting):
-                frame = pd.concat([waiting, frame], ignore_index=True)
+            if rest is not None and len(rest):
+                frame = pd.concat([rest, frame], ignore_index=True)
             whole = len(frame) - len(frame) % batch_lines
-            for at in range(0, whole, batch_lines):
-                yield score(frame.iloc[at:at + batch_lines])
-            waiting = frame.iloc[whole:]
-        if waiting is not None and len(waiting):
-            yield score(waiting)
+            if whole:
+                yield score_rows(frame.iloc[:whole])
+            rest = frame.iloc[whole:]
+        if rest is not None and len(rest):
+            yield score_rows(rest)
 
     return prompts.mapInPandas(run, schema)
 

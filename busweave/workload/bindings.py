@@ -15,7 +15,7 @@ from busweave.operators.messages import extract_messages
 from busweave.plans.analysis import decode_messages
 from busweave.functions.text import log_timestamp
 from busweave.session import fixed_rows, scratch_path
-from busweave.sources.sinks import write_message_table
+from busweave.sources.sinks import write_line_table, write_message_table
 
 TARGET = "01-15 12:00:00.000"
 HALF_WINDOW = 6 * 3600
@@ -81,23 +81,40 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TABLES: dict = {}
+_LINE_TABLE = "line_no bigint, file_path string, value string, ts timestamp_ntz"
+_MESSAGE_TABLE = (
+    "line_no bigint, file_path string, time string, type string, service_id bigint, "
+    "method_id bigint, payload string, day string"
+)
 
 
-def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages as a written table: the log is parsed once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _written(spark: SparkSession, sf_dir: str, name: str, schema: str, write) -> DataFrame:
+    """A table of the shared scratch folder, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
-        path = scratch_path(spark, "messages")
-        write_message_table(messages(spark, sf_dir), path)
+        path = scratch_path(spark, name)
+        write(path)
         _TABLES[key] = path
-    found = spark.read.schema(_MESSAGE_TABLE).parquet(_TABLES[key])
-    return found.drop("day")
+    return spark.read.schema(schema).parquet(_TABLES[key])
 
 
-_MESSAGE_TABLE = (
-    "line_no bigint, file_path string, time string, type string, service_id bigint, "
-    "method_id bigint, payload string, day string"
-)
+def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed log lines as a written table, in line order."""
+
+    def write(path):
+        lines = timed_lines(spark, sf_dir).repartitionByRange("line_no")
+        write_line_table(lines.sortWithinPartitions("line_no"), path)
+
+    return _written(spark, sf_dir, "lines", _LINE_TABLE, write)
+
+
+def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as a written table: the log is parsed once per application."""
+
+    def write(path):
+        write_message_table(extract_messages(line_table(spark, sf_dir).drop("ts")), path)
+
+    return _written(spark, sf_dir, "messages", _MESSAGE_TABLE, write).drop("day")
 
 
 def messages_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +128,7 @@ def messages_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line time of each log day."""
-    lines = timed_lines(spark, sf_dir).filter(F.col("ts").isNotNull())
+    lines = line_table(spark, sf_dir).filter(F.col("ts").isNotNull())
     day = F.date_format("ts", "MM-dd")
     return lines.groupBy(day.alias("target_id")).agg(F.min("ts").alias("target_ts"))
 

@@ -122,7 +122,7 @@ def scan_signal_names(spark, sf_dir):
 
 
 def _samples(spark, sf_dir):
-    labelled = SAM.label_log_lines(D.log_lines(spark, sf_dir))
+    labelled = SAM.label_log_lines(D.line_table(spark, sf_dir).drop("ts"))
     return SAM.split_train_val(labelled, "line_no")
 
 
@@ -179,14 +179,14 @@ def extract_log_timestamp(spark, sf_dir):
 
 @query
 def filter_time_window(spark, sf_dir):
-    lines = D.timed_lines(spark, sf_dir)
+    lines = D.line_table(spark, sf_dir)
     windows = WIN.filter_time_windows(lines, D.daily_targets(spark, sf_dir), 3600)
     return windows.select("target_id", "line_no", "ts", "value")
 
 
 @query
 def window_with_continuations(spark, sf_dir):
-    lines = D.timed_lines(spark, sf_dir)
+    lines = D.line_table(spark, sf_dir)
     return WIN.window_with_continuations(
         lines, D.target(), D.HALF_WINDOW, key="line_no"
     ).select("file_path", "line_no", "ts", "value")
@@ -469,7 +469,7 @@ def accuracy_report(spark, sf_dir):
 
 @query
 def reply_counts(spark, sf_dir):
-    return SCO.reply_counts(D.log_lines(spark, sf_dir), _read_replies(spark, sf_dir))
+    return SCO.reply_counts(D.line_table(spark, sf_dir).drop("ts"), _read_replies(spark, sf_dir))
 
 
 @query
@@ -498,7 +498,7 @@ def payload_size_histogram(spark, sf_dir):
         "value", r"(?i)(payload: ?)([0-9a-f ]+)$", "$1"
     )
     bytes_ = F.regexp_extract("value", r"(?i)payload: ?([0-9a-f ]+)$", 1)
-    lines = D.log_lines(spark, sf_dir).withColumn(
+    lines = D.line_table(spark, sf_dir).drop("ts").withColumn(
         "value",
         F.when(
             bytes_ != "", F.concat(longer, F.repeat(bytes_, (1 + n % 49).cast("int")))
@@ -545,7 +545,7 @@ def group_by_signal(spark, sf_dir):
 
 @query
 def line_length_stats(spark, sf_dir):
-    return SCO.line_length_stats(MSG.filter_message_lines(D.log_lines(spark, sf_dir)))
+    return SCO.line_length_stats(MSG.filter_message_lines(D.line_table(spark, sf_dir).drop("ts")))
 
 
 @query
@@ -585,7 +585,7 @@ def fill_message_rows(spark, sf_dir):
 
 @query
 def batch_by_length(spark, sf_dir):
-    lines = MSG.filter_message_lines(D.log_lines(spark, sf_dir))
+    lines = MSG.filter_message_lines(D.line_table(spark, sf_dir).drop("ts"))
     return SCO.batch_by_length(lines).select("line_no", "length", "batch", "budget")
 
 
@@ -605,7 +605,7 @@ def last_match_per_key(spark, sf_dir):
 
 @query
 def sort_by_length(spark, sf_dir):
-    return SCO.sort_by_length(MSG.filter_message_lines(D.log_lines(spark, sf_dir)))
+    return SCO.sort_by_length(MSG.filter_message_lines(D.line_table(spark, sf_dir).drop("ts")))
 
 
 @query
@@ -624,19 +624,19 @@ def sorted_choice_keys(spark, sf_dir):
 
 @query
 def shuffle_samples(spark, sf_dir):
-    rows = D.log_lines(spark, sf_dir).select("line_no")
+    rows = D.line_table(spark, sf_dir).drop("ts").select("line_no")
     return SAM.shuffle_samples(rows, "line_no")
 
 
 @query
 def split_train_val(spark, sf_dir):
-    rows = D.log_lines(spark, sf_dir).select("line_no")
+    rows = D.line_table(spark, sf_dir).drop("ts").select("line_no")
     return SAM.split_train_val(rows, "line_no")
 
 
 @query
 def quota_sample(spark, sf_dir):
-    lines = MSG.with_message(D.log_lines(spark, sf_dir), "m").select("line_no", "m.*")
+    lines = MSG.with_message(D.line_table(spark, sf_dir).drop("ts"), "m").select("line_no", "m.*")
     flagged = SAM.known_pair_flag(lines)
     kind = F.coalesce("type", F.lit(K.NOT_A_MESSAGE))
     size = F.size(B.payload_bytes(F.coalesce("payload", F.lit(""))))
@@ -647,7 +647,7 @@ def quota_sample(spark, sf_dir):
 @query
 def example_per_type(spark, sf_dir):
     return SAM.example_per_type(
-        SAM.label_log_lines(D.log_lines(spark, sf_dir), "Parse the line."), "line_no"
+        SAM.label_log_lines(D.line_table(spark, sf_dir).drop("ts"), "Parse the line."), "line_no"
     )
 
 
@@ -814,7 +814,7 @@ def _pattern_scorer():
 
 @query
 def score_in_batches(spark, sf_dir):
-    lines = D.log_lines(spark, sf_dir)
+    lines = D.line_table(spark, sf_dir).drop("ts")
     scored = SCO.score_in_batches(lines, _pattern_scorer(), "Parse the line.")
     return SCO.read_replies(scored).select(
         "line_no", "failed", "outcome", "time", "type", "service_id", "method_id", "payload"
@@ -823,7 +823,7 @@ def score_in_batches(spark, sf_dir):
 
 @query
 def analyze_properties(spark, sf_dir):
-    lines = D.timed_lines(spark, sf_dir)
+    lines = D.line_table(spark, sf_dir)
     result = ANA.analyze_log(
         lines, D.target(), D.HALF_WINDOW, "file_path", "line_no",
         D.properties(spark, sf_dir), D.catalogue(spark, sf_dir),

@@ -65,10 +65,14 @@ def compare(spark, db, sf_dir, query, sql):
 def main(argv):
     import __spark_entry__ as contract
     from busweave.session import local_session
+    from pyspark.sql import SparkSession
 
     sf_dir = argv[0]
     wanted = argv[1:] or list(contract.queries())
-    spark = local_session()
+    if argv[1:2] == ["--plain"]:
+        spark, wanted = SparkSession.builder.master("local[8]").getOrCreate(), argv[2:] or list(contract.queries())
+    else:
+        spark = local_session()
     spark.sparkContext.setLogLevel("OFF")
     db = connect(sf_dir)
     sqls = contract.oracle_sql()
