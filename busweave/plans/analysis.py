@@ -76,6 +76,19 @@ def analyze_properties(
     )
 
 
+def nested_matches(matches: DataFrame) -> DataFrame:
+    """Match rows as nested records; ``test_result`` is null without a message."""
+    ids = ("service_id", "method_id")
+    return matches.select(
+        "query_signal",
+        F.struct("message_name", "is_can", *ids, "direction").alias("catalogue_message"),
+        F.when(
+            F.col("matched"),
+            F.struct("time", F.lower("direction").alias("type"), *ids, "payload"),
+        ).alias("test_result"),
+    )
+
+
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """Write an intermediate result to the shared scratch folder and read it back.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from busweave import schemas
+from busweave.operators.scoring import read_replies
 
 
 def read_json_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -88,6 +89,33 @@ def read_signal_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return flatten_signal_dictionary(documents, F.col("value"))
 
 
+def read_found_messages(
+    spark: SparkSession, path: str, json_lines: bool = False
+) -> DataFrame:
+    """``(place, time, type, service_id, method_id, payload)`` of a scorer's output.
+
+    The output is one JSON array per file, or one object per line; the latter
+    is splittable.  The time may stand under any of its four keys.  ``place``
+    is the order of the records.
+    """
+    if json_lines:
+        texts = spark.read.text(path).select(
+            _row_order().alias("place"), F.col("value").alias("reply")
+        )
+    else:
+        arrays = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("_file"),
+            F.posexplode(F.from_json("value", "array<variant>")).alias("_at", "_record"),
+        )
+        texts = arrays.select(
+            F.struct(F.col("_file").alias("file"), F.col("_at").alias("at")).alias("place"),
+            F.to_json("_record").alias("reply"),
+        )
+    return read_replies(texts).select(
+        "place", "time", "type", "service_id", "method_id", "payload"
+    )
+
+
 def read_training_sets(spark: SparkSession, train: str, validation: str) -> DataFrame:
     """``(split, text)`` of both JSON-lines sets."""
     parts = [
