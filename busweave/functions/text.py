@@ -10,6 +10,7 @@ from busweave import constants as K
 WS = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 NBSP = "\u00a0"
 
+# --- fixed values: patterns of line times and message lines ---
 _LINE_TIME = rf"^{WS}*(\d\d-\d\d{WS}+\d\d:\d\d:\d\d\.\d{{1,6}})(?!\d)"
 _TARGET_TIME = r"^\d\d?-\d\d? \d\d?:\d\d?:\d\d?(\.\d{1,6})?$"
 

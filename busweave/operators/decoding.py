@@ -64,21 +64,26 @@ def decode_join(
 
     The join is an equi-join on request and frame id.  A request without a
     message, or a message without a payload, gives one row with a ``note``.
+    Frames are computed here unless :func:`with_frame` ran on the messages
+    before, which is cheaper when several requests share a message.
     """
     can = matched.filter(F.coalesce("is_can", F.lit(False)))
-    note = F.when(~F.col("matched"), NOTE_NO_MESSAGE).when(
-        F.coalesce(F.col("payload"), F.lit("")) == "", NOTE_NO_PAYLOAD
-    )
-    noted = can.withColumn("note", note)
+    payload = F.col("payload")
+    empty = payload.isNull() | (payload == "")
+    note = F.when(~F.col("matched"), NOTE_NO_MESSAGE).when(empty, NOTE_NO_PAYLOAD)
     parts = definitions.filter(F.col("msgid").isNotNull()).select(
         "query_signal",
         B.definition_id(F.col("msgid")).alias("_frame_id"),
         *[c for c in _NAMES if c in definitions.columns],
         *DEFINITION_FIELDS,
     )
-    pairs = with_frame(noted.filter(F.col("note").isNull())).join(
-        parts, ["query_signal", "_frame_id"]
+    framed = can.filter(F.col("matched") & ~empty).withColumn(
+        "note", F.lit(None).cast("string")
     )
+    if "_frame" not in matched.columns:
+        framed = with_frame(framed)
+    pairs = framed.join(parts, ["query_signal", "_frame_id"])
     decoded = decode_frames(pairs, keep_skipped).drop("_frame", "_frame_id")
-    notes = noted.filter(F.col("note").isNotNull())
+    notes = can.withColumn("note", note).filter(~F.col("matched") | empty)
+    notes = notes.drop("_frame", "_frame_id")
     return decoded.unionByName(notes, allowMissingColumns=True)

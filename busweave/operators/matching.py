@@ -60,13 +60,13 @@ def lookup_catalogue_message(requests: DataFrame, catalogue: DataFrame) -> DataF
     )
 
 
-_MESSAGE_COLUMNS = ("line_no", "time", "payload")
+MESSAGE_COLUMNS = ("line_no", "time", "payload")
 
 
 def match_messages(
     looked_up: DataFrame,
     messages: DataFrame,
-    carried: tuple[str, ...] = _MESSAGE_COLUMNS,
+    carried: tuple[str, ...] = MESSAGE_COLUMNS,
 ) -> DataFrame:
     """All messages with the service, method and direction of each found request.
 

@@ -10,6 +10,7 @@ from busweave import constants as K
 from busweave.functions.frames import definition_id
 from busweave.operators.decoding import decode_frames, decode_join, with_frame
 from busweave.operators.matching import (
+    MESSAGE_COLUMNS,
     lookup_catalogue_message,
     match_messages,
     parse_properties,
@@ -67,9 +68,10 @@ def analyze_properties(
     parsed = parse_properties(properties)
     looked_up = lookup_catalogue_message(parsed, catalogue)
     definitions = route_definitions(looked_up, noncan, dictionary)
-    matches = match_messages(looked_up, messages)
+    framed = (*MESSAGE_COLUMNS, "_frame", "_frame_id")
+    matches = match_messages(looked_up, with_frame(messages), framed)
     return Analysis(
-        matches=matches,
+        matches=matches.drop("_frame", "_frame_id"),
         definitions=definitions,
         decoded=decode_join(matches, definitions),
         rejected=parsed.filter(F.col("error").isNotNull()),

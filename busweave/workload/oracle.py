@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+# --- fixed values: patterns of message lines ---
 _TS = r"(\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+)"
 _RX = (
     _TS + r".*?SomeipCOmm :: RX Message.*?service:([0-9a-fA-F]+)\s*"

@@ -407,7 +407,9 @@ def _decode_columns(decoded):
 @query
 def decode_join(spark, sf_dir):
     matched = MAT.match_messages(
-        _looked_up(spark, sf_dir), D.messages_with_gaps(spark, sf_dir)
+        _looked_up(spark, sf_dir),
+        DEC.with_frame(D.messages_with_gaps(spark, sf_dir)),
+        (*MAT.MESSAGE_COLUMNS, "_frame", "_frame_id"),
     )
     return _decode_columns(DEC.decode_join(matched, _definitions(spark, sf_dir)))
 
