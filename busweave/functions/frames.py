@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 from busweave import constants as K
 from busweave.functions.text import WS, collapse_blanks, strip
 
-_REGULAR = r"^[0-9a-f]{2}( [0-9a-f]{2})*$"
+_REGULAR = r"^[0-9a-f]{2}( [0-9a-f]{2})*\z"
 MAX_BITS = 64
 
 

@@ -22,17 +22,8 @@ _BORDER = -1
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add the chunk and whether a row is first or last of its key in the chunk."""
-    spread = df.repartitionByRange(*keys, *order).withColumn(
-        _CHUNK, F.spark_partition_id()
-    )
-    inside = Window.partitionBy(_CHUNK, *keys).orderBy(*order)
-    return spread.withColumns(
-        {
-            _HEAD: F.lag(F.lit(True)).over(inside).isNull(),
-            _TAIL: F.lead(F.lit(True)).over(inside).isNull(),
-        }
-    )
+    spread = df.repartitionByRange(*keys, *order)
+    return spread.withColumn(_CHUNK, F.spark_partition_id())
 
 
 def _inside(keys: Sequence[str], order: Sequence[str]):
@@ -66,32 +57,26 @@ def with_neighbours(
     a second time.
     """
     seen = F.struct(*values)
-    border = F.col(_HEAD) | F.col(_TAIL)
+    before, after = F.col(previous), F.col(following)
     inside, borders = _inside(keys, order), _borders(keys, order)
 
     local = _chunked(df, keys, order).withColumns(
-        {
-            previous: F.lag(seen).over(inside),
-            following: F.lead(seen).over(inside),
-        }
+        {previous: F.lag(seen).over(inside), following: F.lead(seen).over(inside)}
     )
+    # A struct is never null itself, so a null marks the end of a chunk.
+    border = before.isNull() | after.isNull()
     if keep is not None:
-        local = local.filter(border | keep(F.col(previous), F.col(following)))
+        local = local.filter(border | keep(before, after))
     across = _with_group(local, border).withColumns(
-        {
-            "_from": F.lag(seen).over(borders),
-            "_to": F.lead(seen).over(borders),
-        }
+        {"_from": F.lag(seen).over(borders), "_to": F.lead(seen).over(borders)}
     )
     done = across.withColumns(
         {
-            previous: F.when(F.col(_HEAD), F.col("_from")).otherwise(F.col(previous)),
-            following: F.when(F.col(_TAIL), F.col("_to")).otherwise(F.col(following)),
+            previous: F.coalesce(before, F.col("_from")),
+            following: F.coalesce(after, F.col("_to")),
         }
     ).drop("_from", "_to", *_HELPERS)
-    if keep is None:
-        return done
-    return done.filter(keep(F.col(previous), F.col(following)))
+    return done if keep is None else done.filter(keep(before, after))
 
 
 def carry_forward(
@@ -108,11 +93,16 @@ def carry_forward(
     right after the first window.
     """
     border = F.col(_HEAD) | F.col(_TAIL)
-    so_far = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = _inside(keys, order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = _borders(keys, order).rowsBetween(Window.unboundedPreceding, -1)
 
-    local = _chunked(df, keys, order).withColumn(
-        "_local", F.last(value, ignorenulls=True).over(so_far)
+    local = _chunked(df, keys, order).withColumns(
+        {
+            "_local": F.last(value, ignorenulls=True).over(so_far),
+            _HEAD: F.lag(F.lit(True)).over(inside).isNull(),
+            _TAIL: F.lead(F.lit(True)).over(inside).isNull(),
+        }
     )
     if wanted is not None:
         local = local.filter(border | wanted)
@@ -132,7 +122,12 @@ def global_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame
     backwards = Window.partitionBy(_CHUNK).orderBy(*(F.desc(c) for c in order))
     earlier = _borders((), order).rowsBetween(Window.unboundedPreceding, -1)
 
-    local = _chunked(df, (), order).withColumn("_rank", F.row_number().over(inside))
+    local = _chunked(df, (), order).withColumns(
+        {
+            "_rank": F.row_number().over(inside),
+            _TAIL: F.lead(F.lit(True)).over(inside).isNull(),
+        }
+    )
     shared = _with_group(local, F.col(_TAIL)).withColumn(
         "_before", F.sum(F.when(F.col(_TAIL), F.col("_rank"))).over(earlier)
     )

@@ -107,29 +107,29 @@ def size_class(byte_count: Column) -> Column:
 def payload_size_histogram(samples: DataFrame) -> DataFrame:
     """Count and percentage per size class over rx and tx samples.
 
-    All classes appear.  The total is summed over the few class rows, so the
-    samples are read once.
+    All classes appear.  One aggregate row holds every class, so counts and
+    total come from a single pass.
     """
-    spark = samples.sparkSession
     sized = read_samples(samples).filter(
         ~F.col("sample_type").isin(K.NOT_A_MESSAGE, "parse_error")
     )
     size = F.size(B.payload_bytes(F.coalesce("payload", F.lit(""))))
-    sized = sized.withColumn("_size", size)
-    counted = sized.groupBy(size_class(F.col("_size")).alias("size_class")).agg(
-        F.count("*").alias("samples")
-    )
-    classes = fixed_rows(
-        spark, "size_class string, samples bigint", [(n, 0) for n, _ in K.SIZE_CLASSES]
-    )
-    full = counted.unionByName(classes).groupBy("size_class").agg(
-        F.sum("samples").alias("samples")
-    )
-    # At most one row per fixed class reaches this window.
-    total = F.sum("samples").over(Window.partitionBy(F.lit(0)))
-    return full.withColumn(
-        "percent", 100.0 * F.col("samples") / F.greatest(total, F.lit(1))
+    classed = sized.withColumn("_size", size).select(size_class(F.col("_size")).alias("_class"))
+    labels = [name for name, _ in K.SIZE_CLASSES]
+    row = classed.agg(
+        F.count("*").alias("_total"),
+        *[F.count_if(F.col("_class") == name).alias(name) for name in labels],
     )
+    total = F.greatest("_total", F.lit(1))
+    entries = [
+        F.struct(
+            F.lit(name).alias("size_class"),
+            F.col(name).alias("samples"),
+            (100.0 * F.col(name) / total).alias("percent"),
+        )
+        for name in labels
+    ]
+    return row.select(F.inline(F.array(*entries)))
 
 
 _AUDIT_IDS = r"service:([0-9a-f]+) ,Method:([0-9a-f]+)"

@@ -98,18 +98,21 @@ def asof_signal_value(
     Points and probes are merged in time order and values carried forward, so
     neither side is paired with the other.
     """
+    place, value = points.schema["line_no"].dataType, points.schema["value"].dataType
     merged = points.select(
-        key, "ts", F.lit(0).alias("_is_probe"), F.col("line_no").alias("_place"),
-        F.struct("value").alias("_point"), F.lit(None).cast("bigint").alias("probe_id"),
+        key, "ts", F.lit(0).alias("_is_probe"), "line_no",
+        F.struct("value").alias("_point"),
+        F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"),
     ).unionByName(
         probes.select(
-            key, "ts", F.lit(1).alias("_is_probe"), F.col("probe_id").alias("_place"),
-            F.lit(None).cast(f"struct<value:{points.schema['value'].dataType.simpleString()}>").alias("_point"),
+            key, "ts", F.lit(1).alias("_is_probe"),
+            F.lit(None).cast(place).alias("line_no"),
+            F.when(F.lit(False), F.struct(F.lit(None).cast(value).alias("value"))).alias("_point"),
             "probe_id",
         )
     )
     carried = carry_forward(
-        merged, [key], ["ts", "_is_probe", "_place"], "_point", "_in_force",
+        merged, [key], ["ts", "_is_probe", "line_no", "probe_id"], "_point", "_in_force",
         wanted=F.col("_is_probe") == 1,
     )
     return carried.select(

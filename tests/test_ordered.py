@@ -84,6 +84,19 @@ def test_asof(many_chunks, seed):
     assert {r["probe_id"]: r["value"] for r in got.collect()} == want
 
 
+def test_asof_with_file_order_keys(spark):
+    points = spark.createDataFrame(
+        [("s", START, ("f", 1), 1.0), ("s", START, ("f", 2), 2.0)],
+        "query_signal string, ts timestamp_ntz, line_no struct<file string, seq int>, value double",
+    )
+    probes = spark.createDataFrame(
+        [("p", "s", START), ("q", "s", START - timedelta(seconds=1))],
+        "probe_id string, query_signal string, ts timestamp_ntz",
+    )
+    got = {r["probe_id"]: r["value"] for r in series.asof_signal_value(points, probes).collect()}
+    assert got == {"p": 2.0, "q": None}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_carry_forward(many_chunks, seed):
     rng = random.Random(seed)
