@@ -22,7 +22,7 @@ from busweave.operators import (  # noqa: E402
 )
 from busweave.operators.messages import extract_messages  # noqa: E402
 from busweave.plans import analysis  # noqa: E402
-from busweave.sources import bus, logs, records, sheets, sinks  # noqa: E402
+from busweave.sources import logs, records, sheets, sinks  # noqa: E402
 
 
 def _target(text: str, year: int):

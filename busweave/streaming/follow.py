@@ -25,10 +25,6 @@ def follow_log_lines(
     return lines.withColumn("ts", log_timestamp(F.col("value"), anchor_year))
 
 
-def follow_messages(lines: DataFrame) -> DataFrame:
-    return extract_messages(lines)
-
-
 def follow_decoded(lines: DataFrame, definitions: DataFrame) -> DataFrame:
     return decode_messages(extract_messages(lines), definitions)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from busweave import constants as K
 from busweave.operators.computed import with_computed
 from busweave.operators.messages import extract_messages
 from busweave.plans.analysis import decode_messages
@@ -295,11 +294,12 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- found messages and replies ---------------------------------------------
 
 def found_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted messages with gaps, wrong payloads, wrong services, later copies."""
+    """What a scorer found: frames with a bad status are missing, some payloads and
+    services are wrong, and messages of the first method are found twice."""
     n = F.col("line_no")
-    base = message_table(spark, sf_dir).select(
+    heard = message_table(spark, sf_dir).filter(F.substring("payload", 7, 2) != "00")
+    base = heard.select(
         (n * 2).alias("place"),
-        "line_no",
         "time",
         F.upper("type").alias("type"),
         F.when(n % 10 == 3, F.col("service_id") + 1)
@@ -309,11 +309,11 @@ def found_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 10 == 2, F.concat(F.col("payload"), F.lit(" 00")))
         .otherwise(F.concat(F.lit(" "), F.upper("payload")))
         .alias("payload"),
-    ).filter(n % 10 != 1)
-    copies = base.filter(n % 20 == 4).withColumns(
+    )
+    copies = base.filter("method_id = 1").withColumns(
         {"place": F.col("place") + 1, "payload": F.lit("aa bb")}
     )
-    return base.unionByName(copies).drop("line_no")
+    return base.unionByName(copies)
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:

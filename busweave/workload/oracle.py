@@ -193,11 +193,11 @@ _CTES = {
     CASE WHEN line_no % 10 = 3 THEN service_id + 1 ELSE service_id END AS service_id,
     method_id, CASE WHEN line_no % 10 = 2 THEN payload || ' 00'
       ELSE ' ' || upper(payload) END AS payload
-  FROM messages WHERE line_no % 10 <> 1""",
+  FROM messages WHERE substr(payload, 7, 2) <> '00'""",
     "found_messages": """
   SELECT * FROM found_base UNION ALL
   SELECT place + 1, time, type, service_id, method_id, 'aa bb' FROM found_base
-  WHERE place % 40 = 8""",
+  WHERE method_id = 1""",
     "found_clean": r"""
   SELECT place, time, lower(type) AS type, service_id, method_id,
     trim(regexp_replace(lower(payload), '\s+', ' ', 'g')) AS payload FROM found_messages""",
