@@ -18,7 +18,7 @@ from busweave.operators.matching import (
 )
 from busweave.operators.messages import extract_messages
 from busweave.operators.windowing import filter_time_window, window_with_continuations
-from busweave.session import scratch_path
+from busweave.session import settle
 
 
 @dataclass(frozen=True)
@@ -91,17 +91,6 @@ def nested_matches(matches: DataFrame) -> DataFrame:
     )
 
 
-def settle(df: DataFrame, label: str = "settled") -> DataFrame:
-    """Write an intermediate result to the shared scratch folder and read it back.
-
-    For results that several branches of a plan use and that are costly to
-    recompute.  Written files survive lost executors and cut the lineage.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def analyze_log(
     lines: DataFrame,
     target: Column,

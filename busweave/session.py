@@ -62,3 +62,15 @@ def fixed_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame
     casts = ", ".join(f"CAST(c{i} AS {kind}) AS {name}" for i, (name, kind) in enumerate(columns))
     aliases = ", ".join(f"c{i}" for i in range(len(columns)))
     return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({aliases})")
+
+
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write an intermediate result to the shared scratch folder and read it back.
+
+    For results that several branches of a plan use and that are costly to
+    recompute.  Written files survive lost executors and cut the lineage, and
+    their size is known to the planner.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
