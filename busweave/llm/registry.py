@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from busweave.llm import secrets
+from busweave.llm import minhash, secrets
 
-_MODULES = (secrets,)
+_MODULES = (minhash, secrets)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {
