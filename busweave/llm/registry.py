@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from busweave.llm import minhash, secrets
+from busweave.llm import minhash, secrets, substrings
 
-_MODULES = (minhash, secrets)
+_MODULES = (minhash, secrets, substrings)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {
