@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from busweave.llm import html, minhash, secrets, substrings, warc
+from busweave.llm import decontaminate, html, minhash, secrets, substrings, warc
 
-_MODULES = (html, minhash, secrets, substrings, warc)
+_MODULES = (decontaminate, html, minhash, secrets, substrings, warc)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {
