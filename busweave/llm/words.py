@@ -16,8 +16,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
-SLICE_BYTES = 2 << 20
+_BLOCK = 1 << 18
+SLICE_BYTES = 1 << 19
 
 
 class Words(NamedTuple):
