@@ -62,13 +62,18 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES):
             yield batch.slice(a, b - a)
 
 
-def words_of(texts: pa.Array, fold: bool = False) -> Words:
-    """Hashes and byte ranges of all words; ``fold`` lower-cases A-Z first."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as one run of UTF-8 bytes and the places where they begin and end."""
     column = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
     _, offsets, data = column.buffers()
     cuts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     body = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    body, cuts = body[cuts[0] : cuts[-1]], cuts - cuts[0]
+    return body[cuts[0] : cuts[-1]], cuts - cuts[0]
+
+
+def words_of(texts: pa.Array, fold: bool = False) -> Words:
+    """Hashes and byte ranges of all words; ``fold`` lower-cases A-Z first."""
+    body, cuts = text_bytes(texts)
     n = len(body)
     space = _SPACE[body]
     edge = np.zeros(n + 1, bool)
@@ -77,6 +82,12 @@ def words_of(texts: pa.Array, fold: bool = False) -> Words:
     start[1:] &= space[:-1] | edge[1:n]
     stop[:-1] &= space[1:] | edge[1:n]
     starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    first = np.searchsorted(starts, cuts)
+    return Words(range_hashes(body, starts, stops, fold), first, starts, stops, body)
+
+
+def range_hashes(body: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hashes of ascending, disjoint byte ranges from prefix sums over blocks of bytes."""
     table = _byte_values(fold)
     power, inverse = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
     out = np.empty(len(starts), np.uint64)
@@ -92,8 +103,7 @@ def words_of(texts: pa.Array, fold: bool = False) -> Words:
         a, b = starts[i:j] - low, stops[i:j] - low
         out[i:j] = (sums[b] - sums[a]) * inverse[a]
         i = j
-    first = np.searchsorted(starts, cuts)
-    return Words(mix(out), first, starts, stops, body)
+    return mix(out)
 
 
 def windows(values: np.ndarray, width: int, base: int) -> np.ndarray:
