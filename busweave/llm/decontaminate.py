@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows, DataFrame operations only.
 
-Texts become words in two forms: plain (lower case, edge punctuation off) and
+Texts become words in two forms: plain (lower case, without punctuation) and
 template, where numbers, units and names are typed placeholders.  Windows of
 ``width`` words are hashed; windows of the benchmark's items meet those of the
 documents in a hash join, so a question is found with other numbers, units or
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from busweave.operators.computed import with_computed
 from busweave.session import settle
 
 WIDTH = 8
@@ -31,59 +32,53 @@ LEAST_SHARE = 0.3
 LEAST_RUN = 5
 BROADCAST_WINDOWS = 500_000
 
-# The typed placeholders and the units they cover.
-NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
+# The typed placeholders (their mark occurs in no word) and the units they cover.
+MARK = "\u241f"
+NUMBER, UNIT, NAME = MARK + "number", MARK + "unit", MARK + "name"
 UNITS = (
     "mm|cm|dm|m|km|in|inch|inches|ft|foot|feet|yd|yard|yards|mile|miles|mg|g|kg|t|lb|lbs|oz|ml|cl|l|"
     "liter|liters|litre|litres|s|sec|second|seconds|min|minute|minutes|h|hr|hour|hours|day|days|week|"
-    "weeks|month|months|year|years|km/h|mph|m/s|hz|khz|mhz|ghz|w|kw|mw|v|kv|kj|kcal|joule|joules|"
+    "weeks|month|months|year|years|kmh|mph|ms|hz|khz|mhz|ghz|w|kw|mw|v|kv|kj|kcal|joule|joules|"
     "degree|degrees|percent|dollar|dollars|euro|euros|cent|cents|usd|eur|gbp|kb|mb|gb|tb|°c|°f|%|€|\\$|£"
 )
 
-_SPLIT = r"[\x20\x09-\x0D]+"
-_EDGE = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}%€$£°+\-\x20\x09-\x0D]+|[^\p{L}\p{N}%€$£°\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
-_NUMBER = r"(?<![^\x20\x09-\x0D])[$€£]?[+-]?\p{N}[\p{N}.,:/]*(%|€|\$|£|st|nd|rd|th)?(?![^\x20\x09-\x0D])"
-_MEASURE = rf"(?<![^\x20\x09-\x0D])[+-]?\p{{N}}[\p{{N}}.,]*(?i:{UNITS})(?![^\x20\x09-\x0D])"
-_UNIT = rf"(?<={NUMBER} )(?i:{UNITS})(?![^\x20\x09-\x0D])"
-_NAME = r"(?<=[\p{Ll}\p{N},;>] )\p{Lu}\p{Ll}+(?![^\x20\x09-\x0D])"
-
-
-def _forms(table: DataFrame, text: str) -> DataFrame:
-    """Adds __plain and __typed: word arrays of equal length."""
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _EDGE, ""), _SPLIT, " "))
-    rows = table.withColumn("__body", spaced)
-    typed = F.regexp_replace("__body", _NAME, NAME)
-    digits = F.regexp_replace(F.regexp_replace(typed, _MEASURE, NUMBER + UNIT), _NUMBER, NUMBER)
-    typed = F.when(F.col("__body").rlike(r"\p{N}"), F.regexp_replace(digits, _UNIT, UNIT)).otherwise(typed)
-    words = lambda c: F.when(F.col("__body") != "", F.split(F.lower(c), " ")).otherwise(
-        F.array().cast("array<string>")
-    )
-    return rows.withColumn("__plain", words(F.col("__body"))).withColumn("__typed", words(typed))
+_PUNCTUATION = r"[!-#&-/:-@\[-`{-~]+"
+_SPACES = r"[\x09-\x0D]+\x20*|\x20[\x20\x09-\x0D]+"
+_NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;]\x20.)\p{Ll}+(?=[\s\p{Punct}]|$)"
+_NUMBER = r"(?<![^\x20])[$€£]?\p{N}+(%|€|\$|£|st|nd|rd|th)?(?![^\x20])"
+_MEASURE = rf"(?<![^\x20])\p{{N}}+(?i:{UNITS})(?![^\x20])"
+_UNIT = rf"(?<={NUMBER} )(?i:{UNITS})(?![^\x20])"
+
+
+def _words(text: Column) -> Column:
+    """Lower-case words without punctuation."""
+    body = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, _PUNCTUATION, ""), _SPACES, " ")))
+    return F.when(body != "", F.split(body, " ", -1)).otherwise(F.array().cast("array<string>"))
+
 
+def _has_slots(text: Column) -> Column:
+    return text.rlike(r"\p{N}|" + _NAME)
 
-def _hashes(words: Column, width: int) -> Column:
-    """Hash of every window of ``width`` words; words come in as lambda arguments only."""
-    shifted = [F.slice(words, j + 1, F.greatest(F.size(words) - width + 1, F.lit(0))) for j in range(width)]
-    rows = F.arrays_zip(*[c.alias(f"w{j}") for j, c in enumerate(shifted)])
-    return F.transform(rows, lambda r: F.xxhash64(*[r[f"w{j}"] for j in range(width)]))
 
+def _typed_words(text: Column) -> Column:
+    """The same words with placeholders for numbers, units and names."""
+    named = F.regexp_replace(F.regexp_replace(text, _SPACES, " "), _NAME, NAME)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(named, _PUNCTUATION, ""), _SPACES, " "))
+    typed = F.regexp_replace(F.regexp_replace(bare, _MEASURE, NUMBER + UNIT), _NUMBER, NUMBER)
+    body = F.lower(F.regexp_replace(typed, _UNIT, UNIT))
+    return F.when(body != "", F.split(body, " ", -1)).otherwise(F.array().cast("array<string>"))
 
-def _windows(table: DataFrame, keep: list[str], width: int) -> DataFrame:
-    """One row per window: position, hash, whether it is a template window.
 
-    Template windows are listed only where they differ from the plain ones.
+def _windows(table: DataFrame, keep: list[str], words: str, width: int) -> DataFrame:
+    """(keep, at, hash): one row per window of ``width`` words.
+
+    Plain column expressions over the exploded positions, so that the words stay
+    where they are and explode, hash and join run in one generated loop.
     """
-    plain, typed = _hashes(F.col("__plain"), width), _hashes(F.col("__typed"), width)
-    both = F.arrays_zip(plain.alias("p"), typed.alias("t"))
-    hashed = table.withColumn("__both", both)
-    rows = hashed.select(*keep, F.posexplode("__both").alias("at", "__pair"))
-    return rows.select(
-        *keep, "at",
-        F.explode(
-            F.when(F.col("__pair.p") == F.col("__pair.t"), F.array(F.col("__pair.p")))
-            .otherwise(F.array("__pair.p", "__pair.t"))
-        ).alias("hash"),
-    )
+    rows = table.select(*keep, words, F.posexplode(words).alias("at", "__word"))
+    rows = rows.filter(F.col("at") <= F.size(words) - width)
+    places = [F.get(F.col(words), F.col("at") + j) for j in range(width)]
+    return rows.select(*keep, "at", F.xxhash64(*places).alias("hash"))
 
 
 def contaminated(
@@ -98,31 +93,36 @@ def contaminated(
     tells that numbers, units or names differ.  A pair counts if it matches
     ``least_run`` windows (all, if the item has fewer) or ``least_share`` of them.
     """
-    items = _forms(benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("body")), "body")
-    items = items.withColumn("n_words", F.size("__plain")).filter(F.col("n_words") >= least_words)
-    items = items.withColumn("size", F.least("n_words", F.lit(width)))
-    key_type = docs.schema[key].dataType.simpleString()
-    body = F.col(text)
-    raw = docs.select(F.col(key).alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("tk"))
-    source = _forms(raw, "body")
+    body = F.coalesce(F.col("body"), F.lit(""))
+    items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("body"))
+    items = with_computed(items, {"plain": _words(body), "typed": _typed_words(body)}, keep=["item_id"])
+    items = items.withColumn("n_words", F.size("plain")).filter(F.col("n_words") >= least_words)
+    items = settle(items.withColumn("size", F.least("n_words", F.lit(width))), "benchmark-items")
+    raw = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body")).withColumn("tk", F.xxhash64("body"))
+    plain = with_computed(raw, {"plain": _words(body)}, keep=["doc_id", "tk"])
+    typed = with_computed(raw, {"typed": _typed_words(body)}, where=_has_slots(body), keep=["doc_id", "tk"])
     sides = []
     for size in [r.size for r in items.select("size").distinct().orderBy("size").collect()]:
-        wanted = _windows(items.filter(F.col("size") == size), ["item_id", "__plain", "__typed", "n_words"], size)
-        wanted = settle(
-            wanted.select(
+        for source, words in ((plain, "plain"), (typed, "typed")):
+            own = items.filter(F.col("size") == size)
+            wanted = _windows(own.withColumn("w", F.col(words)), ["item_id", "n_words", "plain", "typed"], "w", size)
+            wanted = wanted.select(
                 F.col("hash").alias("wanted"), F.col("at").alias("item_at"), "item_id", "n_words",
-                F.slice("__plain", F.col("at") + 1, size).alias("item_plain"),
-                F.slice("__typed", F.col("at") + 1, size).alias("item_typed"), F.lit(size).alias("size"),
-            ),
-            "benchmark-windows",
-        )
-        if wanted.count() <= broadcast_windows:
-            wanted = F.broadcast(wanted)
-        found = _windows(source, ["doc_id", "tk"], size).join(wanted, F.col("hash") == F.col("wanted"))
-        sides.append(found.drop("hash", "wanted").withColumnsRenamed({"doc_id": "__id", "tk": "__tk"}))
+                F.slice("plain", F.col("at") + 1, size).alias("item_plain"),
+                F.slice("typed", F.col("at") + 1, size).alias("item_typed"), F.lit(size).alias("size"),
+            )
+            if words == "typed":
+                marked = F.size(F.filter("item_typed", lambda w: w.contains(MARK)))
+                wanted = wanted.filter((marked > 0) & (size - marked >= least_literals))
+            wanted = settle(wanted, "benchmark-windows")
+            if wanted.count() <= broadcast_windows:
+                wanted = F.broadcast(wanted)
+            found = _windows(source, ["doc_id", "tk"], words, size).join(wanted, F.col("hash") == F.col("wanted"))
+            sides.append(found.drop("hash", "wanted").withColumnsRenamed({"doc_id": "__id", "tk": "__tk"}))
     if not sides:
         return docs.sparkSession.createDataFrame(
-            [], f"doc_id {key_type}, item_id {benchmark.schema[item].dataType.simpleString()}, "
+            [], f"doc_id {docs.schema[key].dataType.simpleString()}, "
+            f"item_id {benchmark.schema[item].dataType.simpleString()}, "
             "offset int, n_matched long, n_item_windows int, n_slots long, changed boolean",
         )
     hits = sides[0]
@@ -136,7 +136,8 @@ def _with_words(raw: DataFrame, hits: DataFrame) -> DataFrame:
     fields = [c for c in hits.columns if c not in ("__id", "__tk")]
     per_doc = hits.groupBy("__id", "__tk").agg(F.collect_set(F.struct(*fields)).alias("__hits"))
     joined = raw.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("tk").eqNullSafe(F.col("__tk")))
-    rows = _forms(joined.select("doc_id", "body", "__hits"), "body")
+    body = F.coalesce(F.col("body"), F.lit(""))
+    rows = with_computed(joined, {"__plain": _words(body), "__typed": _typed_words(body)}, keep=["doc_id", "__hits"])
     full = F.transform(
         "__hits",
         lambda h: F.struct(
@@ -156,7 +157,7 @@ def _consistent(matches: DataFrame, least_literals: int, least_share: float, lea
     in two pairs.
     """
     exact = F.col("plain") == F.col("item_plain")
-    literals = F.size(F.filter("typed", lambda w: ~w.contains("<")))
+    literals = F.size(F.filter("typed", lambda w: ~w.contains(MARK)))
     template = (F.col("typed") == F.col("item_typed")) & (literals >= least_literals)
     rows = matches.filter(exact | template).select(
         "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at",
@@ -165,7 +166,7 @@ def _consistent(matches: DataFrame, least_literals: int, least_share: float, lea
             ~exact,
             F.filter(
                 F.arrays_zip("typed", F.col("item_plain").alias("item"), F.col("plain").alias("doc")),
-                lambda w: w["typed"].contains("<"),
+                lambda w: w["typed"].contains(MARK),
             ),
         ).alias("slots"),
     )

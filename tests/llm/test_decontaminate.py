@@ -15,7 +15,7 @@ DOCS = [
     (4, "A completely clean text about trains and Boston, 60 km/h."), (5, None), (6, ""), (None, "x the QUICK brown, fox\njumps over y"),
     (7, "one two three four five alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu six"),
     (7, "one two three four five alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu six"),
-    (8, "12 34 56 78 90 12 34 56 78 90 12 34"), (9, "w " * 200_000 + "the quick brown fox jumps over"),
+    (8, "12 34 56 78 90 12 34 56 78 90 12 34 , . ! ?"), (9, "w " * 200_000 + "the quick brown fox jumps over"),
 ]
 
 
