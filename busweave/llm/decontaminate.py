@@ -44,6 +44,7 @@ UNITS = (
 
 _PUNCTUATION = r"[!-#&-/:-@\[-`{-~]+"
 _SPACES = r"[\x09-\x0D]+\x20*|\x20[\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]+"
 _NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;]\x20.)\p{Ll}+(?=[\s\p{Punct}]|$)"
 _NUMBER = r"(?<![^\x20])[$€£]?\p{N}+(%|€|\$|£|st|nd|rd|th)?(?![^\x20])"
 _MEASURE = rf"(?<![^\x20])\p{{N}}+(?i:{UNITS})(?![^\x20])"
@@ -51,9 +52,8 @@ _UNIT = rf"(?<={NUMBER} )(?i:{UNITS})(?![^\x20])"
 
 
 def _words(text: Column) -> Column:
-    """Lower-case words without punctuation."""
-    body = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, _PUNCTUATION, ""), _SPACES, " ")))
-    return F.when(body != "", F.split(body, " ", -1)).otherwise(F.array().cast("array<string>"))
+    """Lower-case words without punctuation; the first and last may be empty."""
+    return F.split(F.lower(F.trim(F.regexp_replace(text, _PUNCTUATION, ""))), _SPACE, -1)
 
 
 def _has_slots(text: Column) -> Column:
@@ -63,10 +63,9 @@ def _has_slots(text: Column) -> Column:
 def _typed_words(text: Column) -> Column:
     """The same words with placeholders for numbers, units and names."""
     named = F.regexp_replace(F.regexp_replace(text, _SPACES, " "), _NAME, NAME)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(named, _PUNCTUATION, ""), _SPACES, " "))
+    bare = F.regexp_replace(F.trim(F.regexp_replace(named, _PUNCTUATION, "")), _SPACES, " ")
     typed = F.regexp_replace(F.regexp_replace(bare, _MEASURE, NUMBER + UNIT), _NUMBER, NUMBER)
-    body = F.lower(F.regexp_replace(typed, _UNIT, UNIT))
-    return F.when(body != "", F.split(body, " ", -1)).otherwise(F.array().cast("array<string>"))
+    return F.split(F.lower(F.regexp_replace(typed, _UNIT, UNIT)), _SPACE, -1)
 
 
 def _windows(table: DataFrame, keep: list[str], words: str, width: int) -> DataFrame:
