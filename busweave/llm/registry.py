@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from busweave.llm import decontaminate, hilbert, html, minhash, pii, quality, secrets, substrings, warc
+from busweave.llm import decontaminate, hilbert, html, minhash, packing, pii, quality, secrets, substrings, warc
 
-_MODULES = (decontaminate, hilbert, html, minhash, pii, quality, secrets, substrings, warc)
+_MODULES = (decontaminate, hilbert, html, minhash, packing, pii, quality, secrets, substrings, warc)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {
