@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from busweave.llm import decontaminate, hilbert, html, minhash, packing, pii, quality, secrets, substrings, warc
 
 _MODULES = (decontaminate, hilbert, html, minhash, packing, pii, quality, secrets, substrings, warc)
@@ -10,3 +11,7 @@ QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.
 ORACLE_SQL = {
     name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()
 }
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
