@@ -20,9 +20,10 @@ def clean_message_name(raw: Column) -> Column:
 def normalise_msg_type(raw: Column) -> Column:
     """Lower-case text; plain digits become hexadecimal text; null becomes ''."""
     cell = F.lower(clean_cell(raw))
-    as_hex = F.concat(F.lit("0x"), F.lower(F.hex(cell.try_cast("bigint"))))
+    digits = F.regexp_replace(cell, "^0+(?=.)", "")
+    as_hex = F.concat(F.lit("0x"), F.lower(F.conv(digits, 10, 16)))
     return F.when(raw.isNull(), F.lit("")).when(
-        cell.rlike(r"^\d{1,18}$"), as_hex
+        cell.rlike(r"^0*\d{1,19}$"), as_hex
     ).otherwise(cell)
 
 
@@ -47,7 +48,7 @@ def decimal_id(raw: Column) -> Column:
     hex_digits = F.regexp_replace(digits, "^0x0*(?=.)", "")
     return F.when(
         digits.rlike(r"^0x[0-9a-f]+$"),
-        F.when(F.length(hex_digits) <= 15, F.conv(hex_digits, 16, 10).try_cast("bigint")),
+        F.when(F.length(hex_digits) <= 16, F.conv(hex_digits, 16, 10).try_cast("bigint")),
     ).when(digits.rlike(r"^[+-]?\d+$"), digits.try_cast("bigint"))
 
 
@@ -61,7 +62,10 @@ def is_can_component(raw: Column) -> Column:
 
 
 def expand_signal_cell(raw: Column) -> Column:
-    """Signal names of a cell: one per line, ``x[3]`` gives ``x[0] x[1] x[2]``."""
+    """Signal names of a cell: one per line, ``x[3]`` gives ``x[0] x[1] x[2]``.
+
+    A count that is no int leaves the name as it stands.
+    """
     lines = F.filter(
         F.transform(F.split(clean_cell(raw), r"[\r\n]+"), clean_cell), lambda s: s != ""
     )
@@ -76,7 +80,7 @@ def expand_signal_cell(raw: Column) -> Column:
         )
         none = F.array().cast("array<string>")
         return (
-            F.when(~name.rlike(sized), F.array(name))
+            F.when(~name.rlike(sized) | count.isNull(), F.array(name))
             .when(count > 0, numbered)
             .otherwise(none)
         )

@@ -14,7 +14,8 @@ from busweave import constants as K
 from busweave.functions.text import WS, collapse_blanks, strip
 
 _REGULAR = r"^[0-9a-f]{2}( [0-9a-f]{2})*\z"
-MAX_BITS = 64
+NUMBER_BITS = 64
+_DIGITS = 8
 
 
 def payload_bytes(payload: Column) -> Column:
@@ -95,7 +96,8 @@ class BitField:
 
     @property
     def byte_count(self) -> Column:
-        return F.floor((7 - self.start_bit + self.length + 7) / 8).cast("int")
+        whole = F.floor((7 - self.start_bit + self.length + 7) / 8).cast("int")
+        return F.greatest(whole, F.lit(0))
 
     def text(self, frm: Column) -> Column:
         """Hexadecimal text of the bytes the field touches."""
@@ -111,7 +113,7 @@ def skip_reason(frm: Column, msgid: Column, field: BitField) -> Column:
         .when(status_byte(frm) == "..", "bad_byte")
         .when(status_byte(frm) != "01", "status_not_ok")
         .when(field.first >= frm["size"], "short_start")
-        .when((field.length < 1) | (field.length > MAX_BITS), "bad_length")
+        .when(field.length < 1, "bad_length")
         .when(field.first + field.byte_count > frm["size"], "short_bits")
         .when(field.text(frm).contains("."), "bad_byte")
         .otherwise("ok")
@@ -121,21 +123,40 @@ def skip_reason(frm: Column, msgid: Column, field: BitField) -> Column:
 def signal_bits(frm: Column, field: BitField) -> Column:
     """Bits of the field, most significant first.
 
-    Call it on rows whose :func:`skip_reason` is ``ok``.  A field of up to 64
-    bits touches at most nine bytes, so two conversions always suffice.
+    Call it on rows whose :func:`skip_reason` is ``ok``.  Two conversions serve
+    nine bytes; a longer field is converted eight digits at a time.  A start bit
+    above 7 lies before the byte and reads as zeros.
     """
     touched = field.text(frm)
-    head, tail = F.left(touched, F.lit(8)), F.substring(touched, 9, 10)
-    as_bits = lambda h: F.lpad(F.conv(h, 16, 2), F.length(h) * 4, F.lit("0"))
-    bits = F.concat(
-        as_bits(head), F.when(F.length(tail) > 0, as_bits(tail)).otherwise(F.lit(""))
-    )
-    return F.substring(bits, 8 - field.start_bit, field.length)
+    head, tail = F.left(touched, F.lit(_DIGITS)), F.substring(touched, _DIGITS + 1, 10)
+    as_bits = lambda h: F.when(
+        F.length(h) > 0, F.lpad(F.conv(h, 16, 2), F.length(h) * 4, F.lit("0"))
+    ).otherwise(F.lit(""))
+    parts = F.regexp_extract_all(touched, F.lit("(.{1,8})"), F.lit(1))
+    bits = F.when(
+        F.length(touched) <= _DIGITS + 10, F.concat(as_bits(head), as_bits(tail))
+    ).otherwise(F.array_join(F.transform(parts, as_bits), ""))
+    before = F.greatest(field.start_bit - 7, F.lit(0))
+    padded = F.concat(F.repeat(F.lit("0"), before), bits)
+    return F.substring(padded, F.greatest(8 - field.start_bit, F.lit(1)), field.length)
 
 
 def bits_to_number(bits: Column) -> Column:
-    """Unsigned value of up to 64 bits."""
-    return F.conv(bits, 2, 10).cast("decimal(20,0)")
+    """Unsigned value of up to 64 bits; null above, where the bits still stand."""
+    digits = F.regexp_replace(bits, "^0+(?=.)", "")
+    return F.when(
+        F.length(digits) <= NUMBER_BITS, F.conv(digits, 2, 10).cast("decimal(20,0)")
+    )
+
+
+def bits_to_double(bits: Column) -> Column:
+    """Unsigned value of any number of bits, to double precision."""
+    parts = F.regexp_extract_all(bits, F.lit("(.{1,32})"), F.lit(1))
+    return F.aggregate(
+        parts,
+        F.lit(0.0),
+        lambda total, p: total * F.pow(F.lit(2.0), F.length(p)) + F.conv(p, 2, 10).cast("double"),
+    )
 
 
 def choice_label(choices: Column, raw: Column) -> Column:
@@ -192,12 +213,14 @@ def choice_map(choices: Column) -> Column:
 
 
 def sorted_choice_keys(choices: Column) -> Column:
-    return F.array_sort(F.transform(F.map_keys(choices), lambda k: k.cast("bigint")))
+    """Numeric keys in order; keys that are no number are left out."""
+    numbers = F.transform(F.map_keys(choices), lambda k: k.try_cast("bigint"))
+    return F.array_sort(F.filter(numbers, lambda k: k.isNotNull()))
 
 
 def choice_index(keys: Column, value: Column) -> Column:
     """Zero-based place of a value among sorted keys; absent counts as zero."""
-    place = F.coalesce(F.array_position(keys, value.cast("bigint")), F.lit(0))
+    place = F.coalesce(F.array_position(keys, value.try_cast("bigint")), F.lit(0))
     return F.greatest(place - 1, F.lit(0)).cast("bigint")
 
 

@@ -78,10 +78,10 @@ def target_timestamp(text: Column, anchor_year: int = 1900) -> Column:
 
 
 def _id_from_hex(digits: Column) -> Column:
-    # conv() raises beyond 64 bits, so longer digit runs give null.
+    # conv() takes 64 bits; values beyond a bigint give null.
     significant = F.regexp_replace(digits, "^0+(?=.)", "")
     return F.when(
-        F.length(significant) <= 15, F.conv(significant, 16, 10).try_cast("bigint")
+        F.length(significant) <= 16, F.conv(significant, 16, 10).try_cast("bigint")
     )
 
 

@@ -105,11 +105,15 @@ def score_accuracy(spark, args) -> None:
 
 
 def training_set(spark, args) -> None:
-    """Log lines to labelled samples, split for training, with an audit."""
+    """Log lines to labelled samples, split for training, with an audit.
+
+    The split follows the line's text, so equal lines stay on one side and other
+    files or partitions change nothing.
+    """
     lines = logs.read_nonblank_lines(spark, args.log).select("line_key", "value")
     labelled = samples.label_log_lines(lines)
     split = samples.split_train_val(
-        labelled.withColumn("id", F.to_json("line_key")), "id", args.seed
+        labelled.withColumn("id", F.md5("value")), "id", args.seed
     )
     sinks.write_jsonl_split(split, f"{args.out}/samples")
     written = spark.read.schema(schemas.TRAINING_SAMPLE).json(f"{args.out}/samples")

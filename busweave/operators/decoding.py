@@ -35,7 +35,13 @@ def decode_frames(pairs: DataFrame, keep_skipped: bool = False) -> DataFrame:
     valued = sliced.withColumn("_raw", B.bits_to_number(bits)).withColumn(
         "_physical",
         F.when(
-            ~B.has_choices(choices), B.scale_physical(raw, F.col("factor"), F.col("offset"))
+            ~B.has_choices(choices),
+            B.scale_physical(
+                F.when(F.length(bits) <= B.NUMBER_BITS, raw.cast("double")).otherwise(
+                    B.bits_to_double(bits)
+                ),
+                F.col("factor"), F.col("offset"),
+            ),
         ),
     )
     physical = F.col("_physical")
@@ -63,7 +69,9 @@ def decode_join(
     """Decode each matched CAN message with the definitions of its request.
 
     The join is an equi-join on request and frame id.  A request without a
-    message, or a message without a payload, gives one row with a ``note``.
+    message, or a message without a payload, gives one row with a ``note``.  A
+    property that is requested several times is decoded once per request: the
+    matches hold each request, so its definitions count once.
     Frames are computed here unless :func:`with_frame` ran on the messages
     before, which is cheaper when several requests share a message.
     """
@@ -76,7 +84,7 @@ def decode_join(
         B.definition_id(F.col("msgid")).alias("_frame_id"),
         *[c for c in _NAMES if c in definitions.columns],
         *DEFINITION_FIELDS,
-    )
+    ).dropDuplicates(["query_signal", "_frame_id"])
     framed = can.filter(F.col("matched") & ~empty).withColumn(
         "note", F.lit(None).cast("string")
     )

@@ -139,7 +139,7 @@ def hex_conversion_audit(samples: DataFrame, limit: int | None = None) -> DataFr
     """Ids of rx samples read again from the input line, against the answer.
 
     Lines the pattern does not fit count in neither column.  ``limit`` checks
-    only that many samples, as a spot check would.
+    only that many samples, as a spot check would: the first by text.
     """
     text = F.col("text")
     start = F.instr(text, K.INPUT_HEADER) + len(K.INPUT_HEADER)
@@ -147,7 +147,7 @@ def hex_conversion_audit(samples: DataFrame, limit: int | None = None) -> DataFr
     rows = read_samples(samples).filter(F.col("sample_type") == "rx")
     rows = rows.withColumn("_line", line).filter(F.col("_line").rlike(_AUDIT_IDS))
     if limit is not None:
-        rows = rows.limit(limit)
+        rows = rows.orderBy("text").limit(limit)
     from_line = lambda i: F.conv(
         F.regexp_extract("_line", _AUDIT_IDS, i), 16, 10
     ).try_cast("bigint")
@@ -171,10 +171,10 @@ def split_train_val(
     samples: DataFrame, key: str, seed: int = 42, share: float = 0.9
 ) -> DataFrame:
     """``split`` by hash threshold: about ``share`` train, stable for each row."""
-    first_byte = F.conv(F.left(_draw(seed, key), F.lit(2)), 16, 10).cast("int")
+    place = F.conv(F.left(_draw(seed, key), F.lit(15)), 16, 10).cast("bigint")
     return samples.withColumn(
         "split",
-        F.when(first_byte < int(share * 256), "train").otherwise("validation"),
+        F.when(place < int(share * (1 << 60)), "train").otherwise("validation"),
     )
 
 
@@ -195,17 +195,31 @@ def quota_sample(
 ) -> DataFrame:
     """A fixed number of rows per ``stratum``, drawn by hash.
 
-    The plain rank limit lets Spark keep only the first rows of each stratum in
-    every task before the shuffle, so a stratum of any size stays cheap.
+    Draws are uniform, so counting them by their first digits finds, per
+    stratum, the prefix at which its quota is reached; only rows up to it are
+    ranked.  A stratum or quota of any size leaves about its quota of rows.
     """
     quotas = quotas or K.STRATUM_QUOTAS
     quota = F.lit(0)
     for name, wanted in quotas.items():
         quota = F.when(F.col("stratum") == name, wanted).otherwise(quota)
     drawn = rows.withColumn("draw", _draw(seed, key))
+    prefix = F.left("draw", F.lit(4))
+    counts = drawn.groupBy("stratum", prefix.alias("_prefix")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("stratum").orderBy("_prefix").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    reach = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    last = reach.filter(F.col("_before") < quota).groupBy("stratum").agg(
+        F.max("_prefix").alias("_last")
+    ).withColumnRenamed("stratum", "_stratum")
+    near = drawn.join(last, F.col("stratum").eqNullSafe(F.col("_stratum"))).filter(
+        prefix <= F.col("_last")
+    )
     rank = F.row_number().over(Window.partitionBy("stratum").orderBy("draw", key))
-    ranked = drawn.withColumn("place", rank).filter(F.col("place") <= max(quotas.values()))
-    return ranked.filter(F.col("place") <= quota).drop("draw")
+    return near.withColumn("place", rank).filter(F.col("place") <= quota).drop(
+        "draw", "_stratum", "_last"
+    )
 
 
 def example_per_type(samples: DataFrame, key: str, type_column: str = "kind") -> DataFrame:

@@ -99,7 +99,8 @@ def score_in_batches(
             size = len(prompts)
             try:
                 replies = list(scorer(prompts, budget))
-                replies = (replies + [None] * size)[:size]
+                # a wrong number of replies cannot be put beside the prompts
+                replies = replies if len(replies) == size else [None] * size
             except Exception:
                 replies = [None] * size
             return replies, [budget] * size

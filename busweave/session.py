@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,7 +35,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(_CHECKPOINT_KEY, None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:

@@ -53,28 +53,32 @@ def read_noncan_signals(spark: SparkSession, path: str) -> DataFrame:
 def flatten_signal_dictionary(documents: DataFrame, text: Column) -> DataFrame:
     """One row per signal of nested dictionary texts, with its place in the text.
 
-    ``place`` is (namespace, message, signal) position: the order in which a
-    lookup would meet the entries of one direction.
+    ``place`` is (file, namespace, message, signal) position: the order in which
+    a lookup would meet the entries of one direction.  A ``file`` column, if the
+    documents have one, comes first.
     """
+    file = F.col("file") if "file" in documents.columns else F.lit("")
     parsed = documents.select(
+        file.alias("_f"),
         F.posexplode(F.from_json(text, schemas.SIGNAL_DICTIONARY)).alias(
             "_d", "direction", "_namespaces"
         )
     )
     parsed = parsed.select(
-        "direction", F.posexplode("_namespaces").alias("_n", "namespace", "_messages")
+        "_f", "direction", F.posexplode("_namespaces").alias("_n", "namespace", "_messages")
     )
     parsed = parsed.select(
-        "direction", "namespace", "_n",
+        "_f", "direction", "namespace", "_n",
         F.posexplode("_messages").alias("_m", "message", "_signals"),
     )
     parsed = parsed.select(
-        "direction", "namespace", "message", "_n", "_m",
+        "_f", "direction", "namespace", "message", "_n", "_m",
         F.posexplode("_signals").alias("_s", "signal", "_definition"),
     )
     return parsed.select(
         "direction", "namespace", "message", "signal",
         F.struct(
+            F.col("_f").alias("file"),
             F.col("_n").alias("namespace"),
             F.col("_m").alias("message"),
             F.col("_s").alias("signal"),
@@ -85,7 +89,9 @@ def flatten_signal_dictionary(documents: DataFrame, text: Column) -> DataFrame:
 
 def read_signal_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Flat rows of nested dictionary files; each file is one JSON document."""
-    documents = spark.read.text(path, wholetext=True)
+    documents = spark.read.text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("file")
+    )
     return flatten_signal_dictionary(documents, F.col("value"))
 
 

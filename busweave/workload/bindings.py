@@ -275,7 +275,10 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PROPERTY_SIGNALS = ("Speed", "Mode", "Counter", "Valid", "Broken", "Level", "Nope")
+# some requests are repeated: each counts on its own
+PROPERTY_SIGNALS = (
+    "Speed", "Mode", "Counter", "Valid", "Broken", "Level", "Nope", "Speed", "Mode", "Speed"
+)
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:

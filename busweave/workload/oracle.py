@@ -96,7 +96,7 @@ _CTES = {
           AS decoded_bits
       FROM frames m JOIN definitions d
         ON upper(b[1] || b[2]) = replace(upper(msgid), ' ', '')
-      WHERE n >= 3 AND b[3] = '01' AND length BETWEEN 1 AND 64 AND 3 + start_byte < n
+      WHERE n >= 3 AND b[3] = '01' AND length >= 1 AND 3 + start_byte < n
         AND (3 + start_byte) * 8 + 7 - start_bit + length <= n * 8))""",
     "decoded_values": """
   SELECT *, CASE WHEN cardinality(choices) > 0 AND match_label IS NOT NULL THEN 'matched'
@@ -137,7 +137,7 @@ _CTES = {
     "properties": """
   SELECT unnest(['VHAL_' || upper(message_name), 'bad ' || message_name,
     'VHAL_absent' || message_name] || list_transform(
-      ['Speed', 'Mode', 'Counter', 'Valid', 'Broken', 'Level', 'Nope'],
+      ['Speed', 'Mode', 'Counter', 'Valid', 'Broken', 'Level', 'Nope', 'Speed', 'Mode', 'Speed'],
       lambda s: message_name || '__' || s || '_' || upper(direction) || '_v'))
     AS query_signal
   FROM catalogue WHERE row_no < 1000000000""",
@@ -312,7 +312,7 @@ _CTES = {
         || '  "payload": "' || m.payload || '"' || chr(10) || '}' END AS answer
   FROM log_lines l LEFT JOIN messages m USING (line_no)""",
     "split_rows": """
-  SELECT *, CASE WHEN CAST('0x' || left(md5('42:' || line_no), 2) AS INTEGER) < 230
+  SELECT *, CASE WHEN CAST('0x' || left(md5('42:' || line_no), 15) AS BIGINT) < 1037629354146162304
     THEN 'train' ELSE 'validation' END AS split FROM labelled""",
 }
 
@@ -367,12 +367,13 @@ def _analysis(matched: str) -> str:
     string_split(m.payload, ' ') AS b, len(string_split(m.payload, ' ')) AS n,
     array_to_string(list_transform(string_split(m.payload, ' '),
       lambda t: lpad(bin(CAST('0x' || t AS INTEGER)), 8, '0')), '') AS bits
-  FROM {matched} m JOIN routed r ON r.query_signal = m.query_signal
+  FROM {matched} m JOIN (SELECT DISTINCT ON (query_signal) * FROM routed) r
+    ON r.query_signal = m.query_signal
   WHERE m.is_can AND m.matched AND r.by_definition AND r.msgid IS NOT NULL
     AND replace(upper(r.msgid), ' ', '') = upper(replace(left(m.payload, 5), ' ', ''))),
 sliced AS (
   SELECT *, substr(bits, (3 + start_byte) * 8 + 8 - start_bit, length) AS decoded_bits
-  FROM pairs WHERE b[3] = '01' AND length BETWEEN 1 AND 64 AND 3 + start_byte < n
+  FROM pairs WHERE b[3] = '01' AND length >= 1 AND 3 + start_byte < n
     AND (3 + start_byte) * 8 + 7 - start_bit + length <= n * 8),
 valued AS (
   SELECT *, list_sum(list_transform(range(1, length + 1),
