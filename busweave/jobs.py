@@ -45,7 +45,8 @@ def analyze(spark, args) -> None:
         messages,
         records.read_catalogue(spark, args.catalogue),
         records.read_noncan_signals(spark, args.lists),
-        records.read_signal_dictionary(spark, args.dictionary),
+        spark.read.parquet(args.dictionary) if args.flat_dictionary
+        else records.read_signal_dictionary(spark, args.dictionary),
     )
     ordered = window.repartitionByRange("line_key").sortWithinPartitions("line_key")
     sinks.write_text_lines(ordered, f"{args.out}/window")
@@ -140,6 +141,7 @@ def _parser() -> argparse.ArgumentParser:
     one = job(analyze, "log", "time", "properties", "catalogue", "lists", "dictionary")
     one.add_argument("--seconds", type=float, default=K.WINDOW_SECONDS)
     one.add_argument("--year", type=int, default=1900)
+    one.add_argument("--flat-dictionary", action="store_true", help="as the dictionary job writes it")
     one = job(references, "sheet")
     one.add_argument("--row-number-column", type=int, default=K.SHEET_SIGNAL_NAME + 1)
     job(dictionary, "messages", "signals")

@@ -14,19 +14,22 @@ from busweave.operators.lookup import (
 from busweave.schemas import DEFINITION_FIELDS
 
 
-def union_directions(messages: DataFrame) -> DataFrame:
+def union_directions(messages: DataFrame, numbered: bool = False) -> DataFrame:
     """(direction, node) rows: sent by each sender, received by each receiver.
 
-    Both directions come out of one pass over the messages.
+    Both directions come out of one pass over the messages.  ``numbered`` adds
+    ``node_no``, the place of the node in its list.
     """
     tagged = lambda column, tag: F.transform(
         F.coalesce(F.col(column), F.array().cast("array<string>")),
-        lambda node: F.struct(F.lit(tag).alias("direction"), node.alias("node")),
+        lambda node, i: F.struct(
+            F.lit(tag).alias("direction"), node.alias("node"), i.alias("node_no")
+        ),
     )
     roles = F.concat(tagged("senders", "tx"), tagged("receivers", "rx"))
     kept = [c for c in messages.columns if c not in ("senders", "receivers")]
     return messages.select(F.explode(roles).alias("_role"), *kept).select(
-        "_role.direction", "_role.node", *kept
+        "_role.direction", "_role.node", *(["_role.node_no"] if numbered else []), *kept
     )
 
 
@@ -35,15 +38,24 @@ def distinct_nodes(messages: DataFrame) -> DataFrame:
 
 
 def build_signal_dictionary(messages: DataFrame, signals: DataFrame) -> DataFrame:
-    """Flat dictionary rows of bus messages.
+    """Flat dictionary rows of bus messages, ready for lookups and for nesting.
 
     A name that a node holds twice keeps its last message only, whole.  A
-    message without signals keeps one row with a null signal.
+    message without signals keeps one row with a null signal.  ``place`` is the
+    order a converted file would have: nodes by their first message, then
+    messages, then signals.  Limits and scaling come from ``signals`` if it has
+    them.
     """
+    numbers = ("minimum", "maximum", "offset", "factor")
+    number = lambda c: (F.col(c) if c in signals.columns else F.lit(None)).cast("double").alias(c)
     roles = last_match_per_key(
-        union_directions(messages), ["direction", "node", "name"], "message_no"
+        union_directions(messages, numbered=True), ["direction", "node", "name"], "message_no"
     )
     start = F.col("start")
+    seen = F.struct(F.col("message_no").cast("bigint").alias("message"), F.col("node_no").alias("node"))
+    first = roles.groupBy("direction", "node").agg(F.min(seen).alias("_first"))
+    roles = roles.join(first, ["direction", "node"])
+    order = F.col("signal_no") if "signal_no" in signals.columns else F.col("start")
     return left_join_large_right(roles, signals, "message_no").select(
         "direction",
         F.col("node").alias("namespace"),
@@ -54,14 +66,25 @@ def build_signal_dictionary(messages: DataFrame, signals: DataFrame) -> DataFram
         B.start_bit_of(start).alias("start_bit"),
         "length",
         B.choice_map(F.col("choices")).alias("choices"),
+        *[number(c) for c in numbers],
+        F.struct(
+            F.lit("").alias("file"),
+            F.col("_first").alias("namespace"),
+            F.col("message_no").cast("bigint").alias("message"),
+            order.cast("bigint").alias("signal"),
+        ).alias("place"),
     )
 
 
 def nest_message_signals(flat: DataFrame) -> DataFrame:
     """Export form: one row per (direction, namespace, message), signals as a map.
 
-    A map holds the signals of one frame, which its bit length bounds.
+    A map holds the signals of one frame, which its bit length bounds; of two
+    signals of one name the last stays.
     """
+    if "place" in flat.columns:
+        names = ["direction", "namespace", "message", "signal"]
+        flat = last_match_per_key(flat, names, "place")
     fields = [c for c in flat.columns if c in DEFINITION_FIELDS]
     entry = F.when(
         F.col("signal").isNotNull(), F.struct("signal", F.struct(*fields))
@@ -73,8 +96,9 @@ def nest_message_signals(flat: DataFrame) -> DataFrame:
 
 def format_signal_names(flat: DataFrame) -> DataFrame:
     """``<message>__<signal>_<direction>_v`` of every row; duplicates stay."""
+    place = ["place"] if "place" in flat.columns else []
     return flat.filter(F.col("signal").isNotNull()).select(
-        "direction", "namespace", "message", "signal",
+        "direction", "namespace", "message", "signal", *place,
         signal_property(F.col("message"), F.col("signal"), F.col("direction")).alias("name"),
     )
 

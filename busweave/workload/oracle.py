@@ -129,7 +129,7 @@ _CTES = {
     message_name || '_a,' || message_name || '_b' AS signals
   FROM message_kinds WHERE NOT is_can AND service_id <> 195""",
     "dictionary": """
-  SELECT k.direction, s.namespace, k.message_name AS message, s.signal, s.msgid,
+  SELECT namespace_no, row_no, sig_no, k.direction, s.namespace, k.message_name AS message, s.signal, s.msgid,
     s.start_byte, s.start_bit, s.length, s.choices, s.minimum, s.maximum, s."offset",
     s.factor, row_number() OVER (PARTITION BY k.direction, lower(k.message_name),
       lower(s.signal) ORDER BY namespace_no, row_no, sig_no) AS nth
@@ -311,6 +311,15 @@ _CTES = {
         || '  "methodId": ' || m.method_id || ',' || chr(10)
         || '  "payload": "' || m.payload || '"' || chr(10) || '}' END AS answer
   FROM log_lines l LEFT JOIN messages m USING (line_no)""",
+    "flat_dictionary": """
+  SELECT *, row_number() OVER (PARTITION BY direction, lower(name), lower(signal)
+    ORDER BY first_no, node <> 'Node_3', message_no, signal_no) AS nth
+  FROM (SELECT d.direction, d.node, d.name, d.frame_id, d.message_no, d.first_no, s.signal_no,
+      s.signal, s.start, s.length
+    FROM (SELECT *, min(message_no) OVER (PARTITION BY direction, node) AS first_no
+      FROM (SELECT *, row_number() OVER (PARTITION BY direction, node, name
+        ORDER BY message_no DESC) AS last_no FROM directions) WHERE last_no = 1) d
+    JOIN bus_signals s ON s.message_no = d.message_no)""",
     "split_rows": """
   SELECT *, CASE WHEN CAST('0x' || left(md5('42:' || line_no), 15) AS BIGINT) < 1037629354146162304
     THEN 'train' ELSE 'validation' END AS split FROM labelled""",
@@ -477,7 +486,7 @@ SELECT row_no, group_no, group_name FROM sheet_filled
 WHERE group_name <> '' AND NOT group_is_can""",
         "search_signal_names": """
 SELECT message || '__' || signal || '_' || direction || '_v' AS name FROM dictionary
-WHERE contains(lower(name), 'speed') ORDER BY name LIMIT 100""",
+WHERE contains(lower(name), 'speed') ORDER BY namespace_no, row_no, sig_no LIMIT 100""",
         "format_signal_name": """
 SELECT direction, namespace, message, signal,
   message || '__' || signal || '_' || direction || '_v' AS name FROM dictionary""",
@@ -596,6 +605,13 @@ SELECT direction, node AS namespace, name AS message, signal,
 FROM (SELECT *, row_number() OVER (PARTITION BY direction, node, name
   ORDER BY message_no DESC) AS nth FROM directions) d
 LEFT JOIN bus_signals s ON s.message_no = d.message_no WHERE nth = 1""",
+        "dictionary_round_trip": """
+SELECT q.name || '__' || q.signal || '_' || q.direction || '_v' AS name, f.node AS namespace,
+  f.name AS def_message, CASE WHEN f.frame_id < 65536 THEN printf('%04X', f.frame_id)
+    ELSE printf('%X', f.frame_id) END AS msgid,
+  CAST(f.start // 8 AS INTEGER) AS start_byte, CAST(f.start % 8 AS INTEGER) AS start_bit, f.length
+FROM flat_dictionary q JOIN flat_dictionary f ON f.nth = 1 AND f.direction = q.direction
+  AND lower(f.name) = lower(q.name) AND lower(f.signal) = lower(q.signal)""",
         "group_by_signal": """
 SELECT query_signal, count(*) AS decoded_rows, count(match_value) AS "values",
   min(time) AS first_time, max(time) AS last_time FROM decoded_values GROUP BY 1""",

@@ -267,7 +267,7 @@ def exclude_can_messages(spark, sf_dir):
 @query
 def search_signal_names(spark, sf_dir):
     names = DIC.format_signal_names(D.dictionary(spark, sf_dir))
-    return DIC.search_signal_names(names, " SPEED ", K.SEARCH_LIMIT, "name").select("name")
+    return DIC.search_signal_names(names, " SPEED ", K.SEARCH_LIMIT, "place").select("name")
 
 
 @query
@@ -536,6 +536,21 @@ def build_signal_dictionary(spark, sf_dir):
     )
 
 
+@query
+def dictionary_round_trip(spark, sf_dir):
+    """A built dictionary written, read back and looked up by its own names."""
+    flat = DIC.build_signal_dictionary(D.bus_messages(spark, sf_dir), D.bus_signals(spark, sf_dir))
+    path = scratch_path(spark, "dictionary")
+    flat.write.parquet(path)
+    read = spark.read.parquet(path)
+    asked = DIC.format_signal_names(read).select(
+        "name", "message", "signal", F.col("direction").alias("asked_direction")
+    )
+    return DIC.lookup_signal_definition(asked, read).select(
+        "name", "namespace", "def_message", "msgid", "start_byte", "start_bit", "length"
+    )
+
+
 @query
 def group_by_signal(spark, sf_dir):
     rows = SER.rows_by_signal(D.decoded(spark, sf_dir))
