@@ -13,11 +13,18 @@ from busweave.operators.ordered import carry_forward, with_neighbours
 from busweave.operators.windowing import filter_time_window
 
 
-def all_points(decoded: DataFrame, anchor_year: int = 1900) -> DataFrame:
-    """``(query_signal, ts, line_no, value)`` of rows that have a value and a time."""
+def all_points(
+    decoded: DataFrame, anchor_year: int = 1900, scope: Sequence[str] = ()
+) -> DataFrame:
+    """``(query_signal, ts, line_no, value)`` of rows that have a value and a time.
+
+    ``scope`` columns, such as the log's path, stay in front; put them into the
+    ``keys`` of the steps below to treat each log for itself.
+    """
     return decoded.filter(
         F.col("query_signal").isNotNull() & F.col("match_value").isNotNull()
     ).select(
+        *scope,
         "query_signal",
         log_timestamp(F.col("time"), anchor_year).alias("ts"),
         "line_no",
@@ -30,9 +37,10 @@ def signal_points(
     target: Column,
     seconds: float = K.WINDOW_SECONDS,
     anchor_year: int = 1900,
+    scope: Sequence[str] = (),
 ) -> DataFrame:
     """Points around a target time; out-of-range values stay, unlabelled ones go."""
-    return filter_time_window(all_points(decoded, anchor_year), target, seconds)
+    return filter_time_window(all_points(decoded, anchor_year, scope), target, seconds)
 
 
 def rows_by_signal(decoded: DataFrame) -> DataFrame:

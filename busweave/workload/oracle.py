@@ -562,6 +562,17 @@ SELECT count(*) AS truth_rows, count(*) FILTER (level = 'exact') AS exact_rows,
   count(*) FILTER (level = 'identity') AS identity_rows,
   count(*) FILTER (level = 'missing') AS missing_rows,
   count(*) FILTER (level = 'exact') / count(*) * 100 AS accuracy FROM levels""",
+        "accuracy_report_by_log": """
+SELECT 2 * count(*) AS truth_rows, count(*) FILTER (level = 'exact') AS exact_rows,
+  count(*) FILTER (level = 'payload') AS payload_rows,
+  count(*) FILTER (level = 'identity') AS identity_rows,
+  count(*) + count(*) FILTER (level = 'missing') AS missing_rows,
+  count(*) FILTER (level = 'exact') / (2 * count(*)) * 100 AS accuracy FROM levels""",
+        "change_points_by_log": """
+SELECT line_no % 2 AS log, query_signal, line_no, value FROM (SELECT *,
+  lag(value) OVER w AS before, row_number() OVER w AS nth FROM points
+  WINDOW w AS (PARTITION BY line_no % 2, query_signal ORDER BY ts, line_no))
+WHERE nth = 1 OR value IS DISTINCT FROM before""",
         "reply_counts": """
 SELECT (SELECT count(*) FROM log_lines) AS read_lines,
   (SELECT count(*) FROM log_lines WHERE value LIKE '%Message%') AS kept_lines,

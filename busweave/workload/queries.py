@@ -464,6 +464,25 @@ def known_pair_flag(spark, sf_dir):
 
 # --- aggregations -----------------------------------------------------------
 
+@query
+def accuracy_report_by_log(spark, sf_dir):
+    """Two logs of equal lines, of which one was scored."""
+    log = lambda name: F.lit(name).alias("log")
+    truth, found = D.message_table(spark, sf_dir), D.found_messages(spark, sf_dir)
+    both = truth.select("*", log("a")).union(truth.select("*", log("b")))
+    return ACC.accuracy_report(both, found.select("*", log("a")), scope=("log",))
+
+
+@query
+def change_points_by_log(spark, sf_dir):
+    """Change points of two logs with equal times, each for itself."""
+    decoded = D.decoded(spark, sf_dir).withColumn("log", F.pmod("line_no", F.lit(2)))
+    points = SER.all_points(decoded, scope=("log",))
+    return SER.change_points(points, ("log", "query_signal")).select(
+        "log", "query_signal", "line_no", "value"
+    )
+
+
 @query
 def accuracy_report(spark, sf_dir):
     return ACC.accuracy_report(D.message_table(spark, sf_dir), D.found_messages(spark, sf_dir))
