@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from busweave.llm import decontaminate, hilbert, html, minhash, packing, pii, quality, secrets, substrings, warc
+from busweave.llm import (
+    decontaminate, hilbert, html, minhash, packing, pii, quality, reference_sql, secrets, substrings, warc,
+)
 
 _MODULES = (decontaminate, hilbert, html, minhash, packing, pii, quality, secrets, substrings, warc)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
-ORACLE_SQL = {
-    name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()
-}
-
 QUERIES["pipeline"] = corpus_pipeline.run
+
+ORACLE_SQL = dict(reference_sql.ORACLE_SQL)
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
