@@ -7,6 +7,7 @@ other below ``--out``.
 from __future__ import annotations
 
 import argparse
+import importlib
 import os
 import sys
 
@@ -21,7 +22,7 @@ from busweave.operators import (  # noqa: E402
     accuracy, catalogue as sheet_ops, dictionary as dictionary_ops, samples, series, windowing,
 )
 from busweave.operators.messages import extract_messages  # noqa: E402
-from busweave.plans import analysis  # noqa: E402
+from busweave.plans import analysis, scoring as scoring_plan  # noqa: E402
 from busweave.sources import logs, records, sheets, sinks  # noqa: E402
 
 
@@ -105,6 +106,22 @@ def score_accuracy(spark, args) -> None:
     )
 
 
+def score_log(spark, args) -> None:
+    """Log lines through a scorer: found messages in time order, and counts.
+
+    ``scorer`` names a factory as module:function.
+    """
+    module, _, name = args.scorer.partition(":")
+    factory = getattr(importlib.import_module(module), name)
+    lines = logs.read_nonblank_lines(spark, args.log).select("line_key", "value")
+    keyed = lines.withColumn("line_no", F.to_json("line_key")).drop("line_key")
+    run = scoring_plan.score_log(keyed, factory)
+    sinks.write_time_ordered(
+        scoring_plan.found_records(run.replies), f"{args.out}/found", ties=("payload",)
+    )
+    sinks.write_json_records(run.counts, f"{args.out}/counts")
+
+
 def training_set(spark, args) -> None:
     """Log lines to labelled samples, split for training, with an audit.
 
@@ -146,6 +163,7 @@ def _parser() -> argparse.ArgumentParser:
     one.add_argument("--row-number-column", type=int, default=K.SHEET_SIGNAL_NAME + 1)
     job(dictionary, "messages", "signals")
     job(score_accuracy, "log", "found").add_argument("--json-lines", action="store_true")
+    job(score_log, "log", "scorer")
     job(training_set, "log").add_argument("--seed", type=int, default=42)
     return parser
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from busweave import schemas
+from busweave import constants as K, schemas
+from busweave.functions.text import log_timestamp
 from busweave.operators.scoring import read_replies
+from busweave.operators.windowing import filter_time_window
 
 
 def read_json_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -122,6 +126,32 @@ def read_found_messages(
     )
 
 
+def read_message_table(
+    spark: SparkSession,
+    path: str,
+    target: Column,
+    seconds: float = K.WINDOW_SECONDS,
+    anchor_year: int = 1900,
+) -> DataFrame:
+    """Messages of a written table around a target time, with their ``ts``.
+
+    Only the days of the window are read; within them, times compare as text,
+    which the reader can push down, before the exact test.  A window that ends in
+    the next year reads from its first day on and up to its last.
+    """
+    half = F.make_dt_interval(secs=F.lit(Decimal(str(seconds))))
+    low, high = target - half, target + half
+    text = lambda ts, form: F.date_format(ts, form)
+    first, last, day = text(low, "MM-dd"), text(high, "MM-dd"), F.col("day")
+    next_second = text(high + F.expr("INTERVAL 1 SECOND"), "MM-dd HH:mm:ss")
+    time, day_known = F.col("time"), first <= last
+    near = F.when(day_known, (day >= first) & (day <= last)).otherwise((day >= first) | (day <= last))
+    within = ~day_known | ((time >= text(low, "MM-dd HH:mm:ss")) & (time <= next_second))
+    rows = spark.read.parquet(path).filter(near).filter(within)
+    timed = rows.withColumn("ts", log_timestamp(time, anchor_year)).drop("day")
+    return filter_time_window(timed, target, seconds)
+
+
 def read_training_sets(spark: SparkSession, train: str, validation: str) -> DataFrame:
     """``(split, text)`` of both JSON-lines sets."""
     parts = [

@@ -461,6 +461,10 @@ SELECT * FROM log_lines WHERE contains(value, 'SomeipCOmm :: RX Message')
         "filter_time_window": """
 SELECT target_id, line_no, ts, value FROM timed_lines JOIN daily_targets
   ON ts BETWEEN target_ts - INTERVAL 1 HOUR AND target_ts + INTERVAL 1 HOUR""",
+        "message_window": """
+SELECT line_no, time, type, service_id, method_id, payload FROM messages
+WHERE try_cast('1900-' || time AS TIMESTAMP) BETWEEN TIMESTAMP '1900-01-15 12:00:00' - INTERVAL 6 HOUR
+  AND TIMESTAMP '1900-01-15 12:00:00' + INTERVAL 6 HOUR""",
         "extract_rx_messages": f"SELECT {_MESSAGE_COLUMNS} FROM messages WHERE type = 'rx'",
         "extract_tx_messages": f"SELECT {_MESSAGE_COLUMNS} FROM messages WHERE type = 'tx'",
         "extract_messages": f"SELECT {_MESSAGE_COLUMNS} FROM messages",
@@ -736,6 +740,19 @@ SELECT l.line_no, false AS failed, CASE WHEN m.type IS NULL THEN 'ignored' ELSE
   AS outcome, coalesce(m.time, '') AS time, coalesce(m.type, 'ignore') AS type,
   m.service_id, m.method_id, m.payload
 FROM log_lines l LEFT JOIN messages m ON m.line_no = l.line_no""",
+        "score_log": """
+SELECT l.line_no, false AS failed, CASE WHEN m.type IS NULL THEN 'ignored' ELSE 'parsed' END
+  AS outcome, coalesce(m.time, '') AS time, coalesce(m.type, 'ignore') AS type,
+  m.service_id, m.method_id, m.payload
+FROM log_lines l LEFT JOIN messages m ON m.line_no = l.line_no
+WHERE contains(value, 'SomeipCOmm :: RX Message') OR contains(value, 'TX Message SomeipComm::send')""",
+        "score_log_counts": """
+SELECT count(*) AS read_lines, count(*) FILTER (kept) AS kept_lines,
+  count(*) FILTER (NOT kept) AS skipped_lines, count(*) FILTER (kept AND type IS NOT NULL) AS parsed,
+  count(*) FILTER (kept AND type IS NULL) AS ignored, CAST(0 AS BIGINT) AS errors
+FROM (SELECT m.type, contains(value, 'SomeipCOmm :: RX Message')
+    OR contains(value, 'TX Message SomeipComm::send') AS kept
+  FROM log_lines l LEFT JOIN messages m ON m.line_no = l.line_no)""",
         "stream_decoded_log":
             "SELECT time, query_signal, decoded_bits, match_value FROM decoded_values",
     }

@@ -11,7 +11,7 @@ from busweave.operators import (
     matching as MAT, messages as MSG, samples as SAM, scoring as SCO, series as SER,
     windowing as WIN,
 )
-from busweave.plans import analysis as ANA
+from busweave.plans import analysis as ANA, scoring as SCORING
 from busweave.session import scratch_path
 from busweave.sources import bus, logs, records, sheets, sinks
 from busweave.workload import bindings as D
@@ -177,6 +177,16 @@ def extract_log_timestamp(spark, sf_dir):
     return D.timed_lines(spark, sf_dir).select("line_no", "ts")
 
 
+@query
+def message_window(spark, sf_dir):
+    """Messages around a time, read from the table of parsed messages."""
+    path = scratch_path(spark, "message-table")
+    sinks.write_message_table(D.message_table(spark, sf_dir), path)
+    return records.read_message_table(spark, path, D.target(), D.HALF_WINDOW).select(
+        "line_no", "time", "type", "service_id", "method_id", "payload"
+    )
+
+
 @query
 def filter_time_window(spark, sf_dir):
     lines = D.line_table(spark, sf_dir)
@@ -857,6 +867,22 @@ def score_in_batches(spark, sf_dir):
     )
 
 
+@query
+def score_log(spark, sf_dir):
+    """A scoring run: only message lines are sent."""
+    lines = D.line_table(spark, sf_dir).drop("ts")
+    run = SCORING.score_log(lines, _pattern_scorer(), "Parse the line.")
+    return run.replies.select(
+        "line_no", "failed", "outcome", "time", "type", "service_id", "method_id", "payload"
+    )
+
+
+@query
+def score_log_counts(spark, sf_dir):
+    lines = D.line_table(spark, sf_dir).drop("ts")
+    return SCORING.score_log(lines, _pattern_scorer(), "Parse the line.").counts
+
+
 @query
 def analyze_properties(spark, sf_dir):
     lines = D.line_table(spark, sf_dir)

@@ -51,3 +51,11 @@ def test_time_filters_reach_the_line_table(spark):
     plan = contract.queries()["window_with_continuations"](spark, SF_DIR)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in text
+
+
+def test_message_window_reads_its_days_only(spark):
+    frame = contract.queries()["message_window"](spark, SF_DIR)
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    filters = text[text.index("PartitionFilters"):]
+    assert "day" in filters.split("PushedFilters")[0]
+    assert "GreaterThanOrEqual(time" in filters
