@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from busweave.functions import frames as B
 from busweave.operators.computed import with_computed
+from busweave.operators.matching import MESSAGE_COLUMNS, matched_messages, unmatched_requests
 from busweave.schemas import DEFINITION_FIELDS
 
 _NAMES = ("namespace", "def_message", "def_signal")
@@ -63,6 +64,47 @@ def decode_frames(pairs: DataFrame, keep_skipped: bool = False) -> DataFrame:
     )
 
 
+def _definition_parts(definitions: DataFrame) -> DataFrame:
+    """One row per requested property and frame id."""
+    return definitions.filter(F.col("msgid").isNotNull()).select(
+        "query_signal",
+        B.definition_id(F.col("msgid")).alias("_frame_id"),
+        *[c for c in _NAMES if c in definitions.columns],
+        *DEFINITION_FIELDS,
+    ).dropDuplicates(["query_signal", "_frame_id"])
+
+
+def decode_requests(
+    looked_up: DataFrame,
+    messages: DataFrame,
+    definitions: DataFrame,
+    keep_skipped: bool = False,
+) -> DataFrame:
+    """As :func:`decode_join` after matching, with one join of the messages.
+
+    Requests get their definitions first, on the small side; messages then join
+    them by service, method, direction and frame id at once, so that no message
+    is copied to a request that another frame serves.  ``looked_up`` and
+    ``definitions`` are read several times: settle them.
+    """
+    payload = F.col("payload")
+    empty = payload.isNull() | (payload == "")
+    can = looked_up.filter(F.coalesce("is_can", F.lit(False)))
+    parts = can.join(_definition_parts(definitions), "query_signal").withColumnRenamed(
+        "_frame_id", "_asked_id"
+    )
+    framed = with_frame(messages.filter(~empty))
+    pairs = matched_messages(
+        parts, framed, (*MESSAGE_COLUMNS, "_frame", "_frame_id"),
+        F.col("_frame_id") == F.col("_asked_id"),
+    ).withColumn("note", F.lit(None).cast("string"))
+    decoded = decode_frames(pairs, keep_skipped).drop("_frame", "_frame_id", "_asked_id")
+    unread = matched_messages(can, messages.filter(empty)).withColumn("note", F.lit(NOTE_NO_PAYLOAD))
+    missing = unmatched_requests(can, messages).withColumn("note", F.lit(NOTE_NO_MESSAGE))
+    notes = unread.unionByName(missing)
+    return decoded.unionByName(notes, allowMissingColumns=True)
+
+
 def decode_join(
     matched: DataFrame, definitions: DataFrame, keep_skipped: bool = False
 ) -> DataFrame:
@@ -79,12 +121,7 @@ def decode_join(
     payload = F.col("payload")
     empty = payload.isNull() | (payload == "")
     note = F.when(~F.col("matched"), NOTE_NO_MESSAGE).when(empty, NOTE_NO_PAYLOAD)
-    parts = definitions.filter(F.col("msgid").isNotNull()).select(
-        "query_signal",
-        B.definition_id(F.col("msgid")).alias("_frame_id"),
-        *[c for c in _NAMES if c in definitions.columns],
-        *DEFINITION_FIELDS,
-    ).dropDuplicates(["query_signal", "_frame_id"])
+    parts = _definition_parts(definitions)
     framed = can.filter(F.col("matched") & ~empty).withColumn(
         "note", F.lit(None).cast("string")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from busweave import constants as K
 from busweave.functions import text as X
@@ -75,31 +75,58 @@ def match_messages(
     join: hits are an inner join, which can broadcast or split a hot id, and
     misses compare the requests with the distinct ids of the messages.
     """
-    wanted = looked_up.filter("found").withColumn(
-        "_way", F.lower(F.coalesce("direction", F.lit("")))
-    )
-    ids = [
+    hits = matched_messages(looked_up, messages, carried)
+    return hits.unionByName(unmatched_requests(looked_up, messages, carried))
+
+
+def _message_ids() -> list[Column]:
+    return [
         F.col("service_id").alias("_service"),
         F.col("method_id").alias("_method"),
         F.lower(F.coalesce("type", F.lit(""))).alias("_type"),
     ]
-    same = lambda: (
+
+
+def _wanted(looked_up: DataFrame) -> DataFrame:
+    way = F.lower(F.coalesce("direction", F.lit("")))
+    return looked_up.filter("found").withColumn("_way", way)
+
+
+def _same_ids() -> Column:
+    return (
         F.col("service_id").eqNullSafe(F.col("_service"))
         & F.col("method_id").eqNullSafe(F.col("_method"))
         & (F.col("_way") == F.col("_type"))
     )
-    hits = (
-        messages.select(*ids, *carried)
-        .join(wanted, same())
+
+
+def matched_messages(
+    looked_up: DataFrame,
+    messages: DataFrame,
+    carried: tuple[str, ...] = MESSAGE_COLUMNS,
+    also: Column | None = None,
+) -> DataFrame:
+    """The hits of :func:`match_messages`; ``also`` is a further join condition."""
+    same = _same_ids() if also is None else _same_ids() & also
+    return (
+        messages.select(*_message_ids(), *carried)
+        .join(_wanted(looked_up), same)
         .withColumn("matched", F.lit(True))
         .drop("_service", "_method", "_type", "_way")
     )
-    seen = messages.select(*ids).distinct()
-    misses = wanted.join(seen, same(), "left_anti").drop("_way")
-    misses = misses.withColumns(
+
+
+def unmatched_requests(
+    looked_up: DataFrame,
+    messages: DataFrame,
+    carried: tuple[str, ...] = MESSAGE_COLUMNS,
+) -> DataFrame:
+    """The misses of :func:`match_messages`, with nulls for the message."""
+    seen = messages.select(*_message_ids()).distinct()
+    misses = _wanted(looked_up).join(seen, _same_ids(), "left_anti").drop("_way")
+    return misses.withColumns(
         {c: F.lit(None).cast(messages.schema[c].dataType) for c in carried}
     ).withColumn("matched", F.lit(False))
-    return hits.unionByName(misses)
 
 
 def lookup_noncan_signals(requests: DataFrame, records: DataFrame) -> DataFrame:

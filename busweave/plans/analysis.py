@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from busweave import constants as K
 from busweave.functions.frames import definition_id
-from busweave.operators.decoding import decode_frames, decode_join, with_frame
+from busweave.operators.decoding import decode_frames, decode_requests, with_frame
 from busweave.operators.matching import (
-    MESSAGE_COLUMNS,
     lookup_catalogue_message,
     match_messages,
     parse_properties,
@@ -23,7 +22,7 @@ from busweave.session import settle
 
 @dataclass(frozen=True)
 class Analysis:
-    """The three results of an analysis; each is a lazy DataFrame."""
+    """Results of an analysis: lazy frames over settled requests and definitions."""
 
     matches: DataFrame
     definitions: DataFrame
@@ -62,18 +61,16 @@ def analyze_properties(
     """Look up, match and decode every property of a table.
 
     ``messages`` are the messages of the wanted window, with a ``line_no``.  The
-    request side stays a handful of small joins; the messages are joined to it
-    once, whatever the number of properties.
+    request side, a handful of small joins, is settled; the messages are joined
+    to it once, whatever the number of properties.
     """
     parsed = parse_properties(properties)
-    looked_up = lookup_catalogue_message(parsed, catalogue)
-    definitions = route_definitions(looked_up, noncan, dictionary)
-    framed = (*MESSAGE_COLUMNS, "_frame", "_frame_id")
-    matches = match_messages(looked_up, with_frame(messages), framed)
+    looked_up = settle(lookup_catalogue_message(parsed, catalogue), "requests")
+    definitions = settle(route_definitions(looked_up, noncan, dictionary), "definitions")
     return Analysis(
-        matches=matches.drop("_frame", "_frame_id"),
+        matches=match_messages(looked_up, messages),
         definitions=definitions,
-        decoded=decode_join(matches, definitions),
+        decoded=decode_requests(looked_up, messages, definitions),
         rejected=parsed.filter(F.col("error").isNotNull()),
     )
 

@@ -12,7 +12,7 @@ from busweave.operators import (
     windowing as WIN,
 )
 from busweave.plans import analysis as ANA, scoring as SCORING
-from busweave.session import scratch_path
+from busweave.session import scratch_path, settle
 from busweave.sources import bus, logs, records, sheets, sinks
 from busweave.workload import bindings as D
 
@@ -416,12 +416,14 @@ def _decode_columns(decoded):
 
 @query
 def decode_join(spark, sf_dir):
-    matched = MAT.match_messages(
-        _looked_up(spark, sf_dir),
-        DEC.with_frame(D.messages_with_gaps(spark, sf_dir)),
-        (*MAT.MESSAGE_COLUMNS, "_frame", "_frame_id"),
-    )
-    return _decode_columns(DEC.decode_join(matched, _definitions(spark, sf_dir)))
+    """Settled requests and definitions, then one join of the messages."""
+    looked_up = settle(_looked_up(spark, sf_dir), "requests")
+    definitions = MAT.route_definitions(
+        looked_up, D.noncan_records(spark, sf_dir), D.dictionary(spark, sf_dir)
+    )
+    return _decode_columns(DEC.decode_requests(
+        looked_up, D.messages_with_gaps(spark, sf_dir), settle(definitions, "definitions")
+    ))
 
 
 @query
