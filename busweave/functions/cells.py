@@ -69,6 +69,7 @@ def expand_signal_cell(raw: Column) -> Column:
     lines = F.filter(
         F.transform(F.split(clean_cell(raw), r"[\r\n]+"), clean_cell), lambda s: s != ""
     )
+    # Fixed value: a name with a count in brackets.
     sized = r"^(.+?)\[(\d+)\]$"
 
     def members(name: Column) -> Column:

@@ -13,6 +13,7 @@ DEFAULT_INSTRUCTION = (
     "ids of received messages are hexadecimal in the line and decimal in the answer. "
     'For any other line answer exactly {"type": "ignore"}'
 )
+# The keys under which a reply may hold its time.
 TIME_KEYS = ("time", "timestamp", "Time", "Timestamp")
 
 

@@ -10,6 +10,7 @@ from busweave.operators.matching import MESSAGE_COLUMNS, matched_messages, unmat
 from busweave.schemas import DEFINITION_FIELDS
 
 _NAMES = ("namespace", "def_message", "def_signal")
+# The note texts of rows without a value.
 NOTE_NO_MESSAGE = "test_result is None, skipping"
 NOTE_NO_PAYLOAD = "payload is empty, skipping"
 

@@ -132,6 +132,7 @@ def payload_size_histogram(samples: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*entries)))
 
 
+# Fixed value: how the ids stand in a received line.
 _AUDIT_IDS = r"service:([0-9a-f]+) ,Method:([0-9a-f]+)"
 
 

@@ -31,6 +31,7 @@ def target() -> Column:
 
 # --- log text ---------------------------------------------------------------
 
+# Line forms that the message patterns fit.
 _LOG_TEXT = """
   CASE WHEN event_id % 13 = 5 THEN concat('    at frame ', event_id)
     WHEN event_type IN ('view', 'click') THEN concat(

@@ -838,6 +838,7 @@ def _pattern_scorer():
         import json
         import re
 
+        # Fixed value: the two message forms of constants.py as one pattern.
         shape = re.compile(
             r"(\d\d-\d\d [\d:.]+).*(RX|TX) Message .*?service:(\w+) ?,method:(\w+),"
             r"(?: response )?payload: ?([0-9a-f ]+)$",
