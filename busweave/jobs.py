@@ -17,6 +17,7 @@ if __package__ in (None, ""):
 from pyspark.sql import SparkSession, functions as F  # noqa: E402
 
 from busweave import constants as K, schemas  # noqa: E402
+from busweave.functions.frames import payload_bytes  # noqa: E402
 from busweave.functions.text import target_timestamp  # noqa: E402
 from busweave.operators import (  # noqa: E402
     accuracy, catalogue as sheet_ops, dictionary as dictionary_ops, samples, series, windowing,
@@ -126,14 +127,19 @@ def training_set(spark, args) -> None:
     """Log lines to labelled samples, split for training, with an audit.
 
     The split follows the line's text, so equal lines stay on one side and other
-    files or partitions change nothing.
+    files or partitions change nothing.  ``--quotas`` draws the fixed number of
+    each stratum first; samples are written in a fixed pseudo-random order.
     """
     lines = logs.read_nonblank_lines(spark, args.log).select("line_key", "value")
     labelled = samples.label_log_lines(lines)
-    split = samples.split_train_val(
-        labelled.withColumn("id", F.md5("value")), "id", args.seed
-    )
-    sinks.write_jsonl_split(split, f"{args.out}/samples")
+    labelled = labelled.withColumn("id", F.md5("value"))
+    if args.quotas:
+        flagged = samples.known_pair_flag(labelled.select("id", "kind", "text", "message.*"))
+        size = F.size(payload_bytes(F.coalesce("payload", F.lit(""))))
+        stratum = samples.stratum(F.col("kind"), size, F.col("known"))
+        labelled = samples.quota_sample(flagged.withColumn("stratum", stratum), "id", args.seed)
+    split = samples.split_train_val(labelled.select("id", "text"), "id", args.seed)
+    sinks.write_jsonl_split(samples.shuffle_samples(split, "id", args.seed), f"{args.out}/samples")
     written = spark.read.schema(schemas.TRAINING_SAMPLE).json(f"{args.out}/samples")
     audits = {
         "types": samples.sample_type_counts(written),
@@ -164,7 +170,9 @@ def _parser() -> argparse.ArgumentParser:
     job(dictionary, "messages", "signals")
     job(score_accuracy, "log", "found").add_argument("--json-lines", action="store_true")
     job(score_log, "log", "scorer")
-    job(training_set, "log").add_argument("--seed", type=int, default=42)
+    one = job(training_set, "log")
+    one.add_argument("--seed", type=int, default=42)
+    one.add_argument("--quotas", action="store_true")
     return parser
 
 

@@ -93,3 +93,18 @@ def test_dictionary_and_training_set(spark, tmp_path):
     jobs.main(["training_set", "--log", log(tmp_path), "--out", out], spark)
     types = {r["sample_type"]: r["samples"] for r in rows(spark, f"{out}/audit-types")}
     assert types == {"rx": 4, "tx": 0, "not_someip": 3, "parse_error": 0}
+
+
+def test_quota_training_set_and_stable_split(spark, tmp_path):
+    out = scratch_path(spark, "job")
+    jobs.main(["training_set", "--quotas", "--log", log(tmp_path), "--out", out], spark)
+    types = {r["sample_type"]: r["samples"] for r in rows(spark, f"{out}/audit-types")}
+    assert types == {"rx": 4, "tx": 0, "not_someip": 3, "parse_error": 0}
+    again = scratch_path(spark, "job")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        jobs.main(["training_set", "--log", log(tmp_path), "--out", again], spark)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    read = lambda path: sorted((r.split, r.text) for r in spark.read.json(path).collect())
+    assert read(f"{out}/samples") == read(f"{again}/samples")
