@@ -28,7 +28,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select(F.col("hub").alias("u"), F.col("m").alias("v"))
         )
-    return out.filter("u <> v").distinct()
+    return out.filter("u <> v") if large else out.filter("u <> v").distinct()
+
+
+def _is_settled(edges: DataFrame) -> bool:
+    """True if every node has one parent and no parent has one itself."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    seen = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter((F.col("up") > 1) | (F.col("up") + F.col("down") > 1)).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,14 +46,10 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns u and v.  Every round is written to the shared
     folder; the number of rounds grows with the logarithm of the longest chain.
     """
-    edges = settle(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    mark = None
-    while True:
+    sided = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = settle(sided.filter("u <> v").distinct(), "edges")
+    while not _is_settled(edges):
         edges = settle(_star(_star(edges, large=True), large=False), "edges")
-        total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if total == mark:
-            break
-        mark = total
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

@@ -31,7 +31,7 @@ WIDTH = 5
 PERCENT = 85
 BANDS = 35
 ROWS = 7
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 50_000
 
 _BASE = 0xD6E8FEB86659FD93
 _FEW = 24
@@ -291,12 +291,12 @@ def _links(base, classes, groups, width, percent, block_shingles) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The first document of every group, all columns as they were.
 
-    Rows that repeat a kept id all stay; rows without an id stay.
+    Rows that repeat a kept id all stay; rows without an id stay.  The ids that
+    go are the smaller side, so texts are shuffled only when even those are many.
     """
-    kept = duplicate_components(docs, key=key, **options).filter("kept")
-    ids = settle(kept.select(F.col("doc_id").alias("__kept")).distinct(), "minhash-kept")
-    known = docs.join(ids, F.col(key).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return known
+    extra = duplicate_components(docs, key=key, **options).filter("NOT kept")
+    ids = settle(extra.select(F.col("doc_id").alias("__extra")).distinct(), "minhash-extra")
+    return docs.join(ids, F.col(key).cast("long") == F.col("__extra"), "left_anti")
 
 
 def op10_circulant_minhash(spark, sf_dir: str) -> DataFrame:
