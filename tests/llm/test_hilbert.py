@@ -58,3 +58,20 @@ def test_few_and_no_rows(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (7, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in nearest(table).collect()] == [(0, 1, 7)]
     assert nearest(table.filter("false")).count() == 0
+
+
+def test_copies_and_repeated_ids(spark):
+    """Large groups of equal vectors answer with their smallest ids; cuts count ids."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(1200, 8)).astype(np.float32)
+    vectors[300:900] = vectors[300]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    near = vectors[0] + 1e-4 * rng.normal(size=(60, 8)).astype(np.float32)
+    rows += [(7, v.tolist()) for v in near]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest(table, reach=40, curves=8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(got[q] == [i for i in range(300, 306) if i != q][:5] for q in range(300, 900, 50))
+    assert all(len(set(found)) == 5 for found in got.values())
+    assert got[0][0] == 7
