@@ -11,9 +11,12 @@ Equal vectors are one row on every curve, with the ``k + 1`` smallest distinct
 ids of their group: ties go to the smaller id, so no further id of a group can
 be among the best ``k`` of a query.  The ids are expanded after the merge.
 
-Recall depends on data: on vectors without any structure (the test tables) 24
-curves with a reach of 1024 find over 0.95 of the true neighbours among 51,000;
-widen ``reach`` with the table when its vectors are that spread out.
+``reach`` follows the data by one rule for all sizes.  ``SAMPLE`` of the queried
+vectors (those of the least hashes) are scored against all vectors, and the
+ranks tell how near their true neighbours lie on the nearest curve; the reach is
+the distance within which ``TARGET`` of them lie, ``REACH`` at least.  It grows
+with the table as far as its vectors are spread out, and on vectors without any
+structure in proportion to it.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, nor do rows without an id;
@@ -32,6 +35,8 @@ from busweave.session import settle
 
 CURVES = 24
 REACH = 1024
+SAMPLE = 100
+TARGET = 0.95
 DIMENSIONS = 8
 BITS = 6
 SEED = 11
@@ -154,6 +159,53 @@ def _best(size: int, reach: int, most: int):
     return run
 
 
+def _exact(size: int, nodes: list[int], vectors: np.ndarray, k: int):
+    """The k best other vectors of each sampled one, batch by batch."""
+    lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+
+    def run(batches):
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
+            own = np.sqrt(np.einsum("ij,ij->i", flat, flat))
+            rows = []
+            for q, vector, length in zip(nodes, vectors, lengths, strict=True):
+                scores = np.where(node == q, -np.inf, np.einsum("ij,j->i", flat, vector) / (own * length))
+                best = np.argsort(-scores, kind="stable")[:k]
+                rows.extend((q, int(node[i]), float(scores[i])) for i in best if node[i] != q)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+                names=["query", "node", "score"],
+            )
+
+    return run
+
+
+def fitted_reach(
+    groups: DataFrame, queried: DataFrame, placed: DataFrame, size: int, k: int,
+    sample: int = SAMPLE, target: float = TARGET, least: int = REACH,
+) -> int:
+    """Ranks within which ``target`` of the true neighbours of a sample lie on some curve.
+
+    The driver sees the sample, its neighbours and their ranks only.
+    """
+    chosen = queried.select("node", "v").orderBy(F.xxhash64("v"), "node").limit(sample).collect()
+    if not chosen:
+        return least
+    vectors = np.array([r.v for r in chosen], np.float64)
+    pairs = groups.select("node", "v").mapInArrow(
+        _exact(size, [r.node for r in chosen], vectors, k), "query long, node long, score double"
+    )
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
+    true = pairs.withColumn("place", place).filter(F.col("place") <= k).select("query", "node").collect()
+    wanted = sorted({r.node for r in true} | {r.node for r in chosen})
+    ranks: dict[int, dict[int, int]] = {}
+    for r in placed.filter(F.col("node").isin(wanted)).select("curve", "node", "rank").collect():
+        ranks.setdefault(r.node, {})[r.curve] = r["rank"]
+    apart = sorted(min(abs(ranks[r.query][c] - at) for c, at in ranks[r.node].items()) for r in true)
+    return max(least, apart[int(np.ceil(target * len(apart))) - 1]) if apart else least
+
+
 def usable_vectors(table: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     """(vec_id, v) of the vectors that take part, and their length."""
     v = F.col(vector)
@@ -183,9 +235,13 @@ def _groups(base: DataFrame, every: int, k: int) -> tuple[DataFrame, DataFrame]:
 
 def nearest(
     table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5,
-    curves: int = CURVES, reach: int = REACH, dimensions: int = DIMENSIONS, bits: int = BITS, seed: int = SEED,
+    curves: int = CURVES, reach: int | None = None, dimensions: int = DIMENSIONS, bits: int = BITS, seed: int = SEED,
+    least_reach: int = REACH,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): neighbours of ids divisible by ``every``."""
+    """(query_id, rank, vec_id, score): neighbours of ids divisible by ``every``.
+
+    ``reach`` None fits it to the table, ``least_reach`` at least.
+    """
     base, size = usable_vectors(table, key, vector)
     size = max(1, size)
     kind = base.schema["v"].dataType.simpleString()
@@ -195,6 +251,8 @@ def nearest(
         _curve_keys(size, curves, dimensions, bits, seed), f"node long, v {kind}, keys array<long>"
     ).select("node", "v", F.posexplode("keys").alias("curve", "key"))
     placed = ranked(keyed, ["curve"], ["key", "node"], "rank", "curves")
+    if reach is None:
+        reach = fitted_reach(groups, queried, placed, size, k, least=least_reach)
     rows = 2 * reach
     vectors = placed.join(groups.select("node", "ids"), "node").select(
         "curve", F.floor(F.col("rank") / rows).alias("block"), "node", "rank", "v", "ids", F.lit(False).alias("query")

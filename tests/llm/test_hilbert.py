@@ -60,6 +60,22 @@ def test_few_and_no_rows(spark):
     assert nearest(table.filter("false")).count() == 0
 
 
+def test_reach_follows_the_table(spark):
+    """Recall holds where the least windows cover a small share of the table."""
+    rng = np.random.default_rng(5)
+    flat = rng.normal(size=(12_000, 5)) @ rng.normal(size=(5, 16))
+    vectors = (flat + 0.05 * rng.normal(size=flat.shape)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    want = brute(np.arange(len(vectors)), vectors.astype(np.float64), 50, 5)
+
+    def recall(**options):
+        got = nearest(table, curves=4, **options).collect()
+        return sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) / sum(map(len, want.values()))
+
+    assert recall(reach=4) < 0.8
+    assert recall(least_reach=4) >= 0.9
+
+
 def test_copies_and_repeated_ids(spark):
     """Large groups of equal vectors answer with their smallest ids; cuts count ids."""
     rng = np.random.default_rng(9)
