@@ -36,6 +36,7 @@ BLOCK_SHINGLES = 50_000
 _BASE = 0xD6E8FEB86659FD93
 _FEW = 24
 _COLUMNS = 4096
+_STRIP = 1024
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -151,30 +152,31 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _forest(ids, sets, blocks, percent: int):
-    """Pairs (id, root) that join what the exact links of one cell join."""
+    """Pairs (id, root) that join what the exact links of one cell join.
+
+    Both sides are walked in strips of ``_STRIP`` sets, so memory does not grow
+    with the number of short sets in a block.
+    """
     parts = sorted(set(blocks))
-    sides = [[i for i, b in enumerate(blocks) if b == part] for part in parts]
+    sides = [np.array([i for i, b in enumerate(blocks) if b == part]) for part in parts]
     left, right = sides[0], sides[-1]
-    shared = _shared([sets[i] for i in left], [sets[i] for i in right])
     size = np.array([len(s) for s in sets], np.int64)
-    union = size[left][:, None] + size[right][None, :] - shared
-    linked = 100 * shared >= percent * union
-    if left is right:
-        np.fill_diagonal(linked, False)
-    root = list(range(len(ids)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, row in zip(left, linked, strict=True):
-        for b in np.flatnonzero(row):
-            x, y = find(a), find(right[b])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                yield ids[a], ids[right[b]]
+    root = np.arange(len(ids))
+    for low in range(0, len(left), _STRIP):
+        above = left[low : low + _STRIP]
+        for start in range(low if left is right else 0, len(right), _STRIP):
+            beside = right[start : start + _STRIP]
+            shared = _shared([sets[i] for i in above], [sets[i] for i in beside])
+            union = size[above][:, None] + size[beside][None, :] - shared
+            linked = 100 * shared >= percent * union
+            for a, row in zip(above, linked, strict=True):
+                near = beside[row]
+                near = near[root[near] != root[a]]
+                if len(near):
+                    others, first = np.unique(root[near], return_index=True)
+                    root[np.isin(root, others)] = root[a]
+                    for b in near[first]:
+                        yield ids[a], ids[b]
 
 
 def _verify(percent: int):

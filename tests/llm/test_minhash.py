@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
+import numpy as np
 from busweave.llm import minhash
 
 
@@ -69,3 +71,17 @@ def test_components_match_all_pairs(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.duplicate_components(docs).count() == 0
+
+
+def test_many_short_sets_in_a_block():
+    """A block of thousands of tiny sets stays within memory and keeps its links."""
+    n = 6000
+    sets = [np.array(sorted({1, 2, 3, 10 + i // 2}), np.uint64) for i in range(n)]
+    tracemalloc.start()
+    links = list(minhash._forest(list(range(n)), sets, [0] * n, 85))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {tuple(sorted(p)) for p in links} == {(i, i + 1) for i in range(0, n, 2)}
+    assert len(links) == n // 2 and peak < 200e6
+    links = list(minhash._forest(list(range(n)), sets, [0] * (n // 2) + [1] * (n // 2), 60))
+    assert len(links) == n - 1
