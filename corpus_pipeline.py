@@ -22,6 +22,9 @@ from busweave.session import settle
 #: SQL expresses neither the fitted classifier nor the tokenizer.
 ORACLE_SQL = None
 
+#: Stages on word shingles take a similarity of 0.8; 45 bands of 6 rows miss such a pair with probability 1.2e-6.
+PERCENT, BANDS, ROWS = 80, 45, 6
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps: neither junk nor toxic."""
@@ -32,7 +35,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates, that of the smallest id."""
-    return near_duplicates(docs)
+    return near_duplicates(docs, percent=PERCENT, bands=BANDS, rows=ROWS)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,15 @@ def test_decisions(spark, stages):
     assert {r.doc_id for r in stages[5].select("doc_id").collect()} == {r.doc_id for r in after}
 
 
+def test_pairs_between_080_and_085_leave(spark):
+    docs = spark.createDataFrame(
+        [(i * 2 + side, " ".join([*[f"w{i}x{j}" for j in range(100)], *[f"s{i}{side}t{j}" for j in range(10 if side else 11)]]))
+         for i in range(30) for side in (0, 1)], "doc_id long, text string",
+    )  # 96 of 117 shingles are shared: 0.82
+    left = corpus_pipeline.first_of_near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in left) == [2 * i for i in range(30)]
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
