@@ -80,14 +80,21 @@ def _windows(table: DataFrame, keep: list[str], words: str, width: int) -> DataF
     return rows.select(*keep, "at", F.xxhash64(*places).alias("hash"))
 
 
-def contaminated(
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``contaminated_texts`` without the text hash."""
+    return contaminated_texts(docs, benchmark, **options).drop("tk")
+
+
+def contaminated_texts(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id",
     item_text: str = "text", width: int = WIDTH, least_words: int = LEAST_WORDS,
     least_literals: int = LEAST_LITERALS, least_share: float = LEAST_SHARE, least_run: int = LEAST_RUN,
     broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
-    """(doc_id, item_id, offset, n_matched, n_item_windows, n_slots, changed).
+    """(doc_id, tk, item_id, offset, n_matched, n_item_windows, n_slots, changed).
 
+    Matches are counted by (id, text hash ``tk``), so rows that share an id or
+    have none are decided on their own.
     ``offset`` is the document position of the item's first word; ``changed``
     tells that numbers, units or names differ.  A pair counts if it matches
     ``least_run`` windows (all, if the item has fewer) or ``least_share`` of them.
@@ -120,7 +127,7 @@ def contaminated(
             sides.append(found.drop("hash", "wanted").withColumnsRenamed({"doc_id": "__id", "tk": "__tk"}))
     if not sides:
         return docs.sparkSession.createDataFrame(
-            [], f"doc_id {docs.schema[key].dataType.simpleString()}, "
+            [], f"doc_id {docs.schema[key].dataType.simpleString()}, tk long, "
             f"item_id {benchmark.schema[item].dataType.simpleString()}, "
             "offset int, n_matched long, n_item_windows int, n_slots long, changed boolean",
         )
@@ -136,7 +143,7 @@ def _with_words(raw: DataFrame, hits: DataFrame) -> DataFrame:
     per_doc = hits.groupBy("__id", "__tk").agg(F.collect_set(F.struct(*fields)).alias("__hits"))
     joined = raw.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("tk").eqNullSafe(F.col("__tk")))
     body = F.coalesce(F.col("body"), F.lit(""))
-    rows = with_computed(joined, {"__plain": _words(body), "__typed": _typed_words(body)}, keep=["doc_id", "__hits"])
+    rows = with_computed(joined, {"__plain": _words(body), "__typed": _typed_words(body)}, keep=["doc_id", "tk", "__hits"])
     full = F.transform(
         "__hits",
         lambda h: F.struct(
@@ -145,7 +152,7 @@ def _with_words(raw: DataFrame, hits: DataFrame) -> DataFrame:
             F.slice("__typed", h["at"] + 1, h["size"]).alias("typed"),
         ),
     )
-    return rows.select("doc_id", F.inline(full))
+    return rows.select("doc_id", "tk", F.inline(full))
 
 
 def _consistent(matches: DataFrame, least_literals: int, least_share: float, least_run: int) -> DataFrame:
@@ -159,7 +166,7 @@ def _consistent(matches: DataFrame, least_literals: int, least_share: float, lea
     literals = F.size(F.filter("typed", lambda w: ~w.contains(MARK)))
     template = (F.col("typed") == F.col("item_typed")) & (literals >= least_literals)
     rows = matches.filter(exact | template).select(
-        "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at",
+        "doc_id", "tk", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at",
         (F.col("n_words") - F.col("size") + 1).alias("n_item_windows"), exact.alias("same"),
         F.when(
             ~exact,
@@ -169,7 +176,7 @@ def _consistent(matches: DataFrame, least_literals: int, least_share: float, lea
             ),
         ).alias("slots"),
     )
-    by = ["doc_id", "item_id", "offset", "n_item_windows"]
+    by = ["doc_id", "tk", "item_id", "offset", "n_item_windows"]
     windows = rows.groupBy(*by, "item_at").agg(F.max("same").alias("same"), F.any_value("slots", True).alias("slots"))
     windows = settle(windows, "benchmark-matches")
     pairs = windows.filter("NOT same").select(*by, F.explode("slots").alias("slot")).select(
@@ -195,14 +202,18 @@ def _consistent(matches: DataFrame, least_literals: int, least_share: float, lea
         F.col("n_matched") >= least_share * F.col("n_item_windows")
     )
     return counted.filter((F.col("n_matched") > 0) & enough).select(
-        "doc_id", "item_id", "offset", "n_matched", "n_item_windows", "n_slots", "changed"
+        "doc_id", "tk", "item_id", "offset", "n_matched", "n_item_windows", "n_slots", "changed"
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """Documents without a match; rows without an id go only if such a row matches."""
-    found = settle(contaminated(docs, benchmark, key=key, **options).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
-    return docs.join(found, F.col(key).eqNullSafe(F.col("__hit")), "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options
+) -> DataFrame:
+    """Documents without a match; each row goes by its own id and text."""
+    found = contaminated_texts(docs, benchmark, text=text, key=key, **options)
+    found = settle(found.select(F.col("doc_id").alias("__hit"), F.col("tk").alias("__tk")).distinct(), "contaminated")
+    same = F.col(key).eqNullSafe(F.col("__hit")) & (F.xxhash64(text) == F.col("__tk"))
+    return docs.join(found, same, "left_anti")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from busweave.llm.components import components
 from busweave.llm.words import mix, slices, windows, words_of
@@ -290,10 +290,40 @@ def _links(base, classes, groups, width, percent, block_shingles) -> DataFrame:
     )
 
 
+def first_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """One row of every group of near duplicates, that of the smallest id, null last.
+
+    A row's node is the hash of its id and text, so repeated and null ids are
+    decided row by row; of fully repeated rows the one of the least hash of all
+    columns stays.  Rows without words stay.
+    """
+    node = F.xxhash64(key, text)
+    keyed = docs.select(node.alias("__node"), F.col(text).alias("text"))
+    labels = duplicate_components(keyed, key="__node", **options).filter("n_shingles > 0")
+    labels = labels.groupBy(F.col("doc_id").alias("node"), "component_id").agg(F.count("*").alias("copies"))
+    ids = docs.select(node.alias("__node"), F.col(key).cast("long").alias("id")).groupBy("__node").agg(F.min("id").alias("id"))
+    rows = settle(
+        labels.join(ids, F.col("node") == F.col("__node")).select("component_id", "node", "id", "copies"), "minhash-rows"
+    )
+    head = rows.groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "copies")).alias("head"),
+        F.sum("copies").alias("n"),
+    ).filter("n > 1")
+    head = settle(head.select(F.col("component_id").alias("__group"), "head.node", "head.copies"), "minhash-heads")
+    gone = rows.join(head.select("__group", F.col("node").alias("__head")), F.col("component_id") == F.col("__group"))
+    gone = gone.filter("node <> __head").select("node")
+    many = head.filter("copies > 1").select(F.col("node").alias("__many"))
+    once = settle(gone.union(many).select(F.col("node").alias("__extra")), "minhash-extra")
+    kept = docs.join(once, node == F.col("__extra"), "left_anti")
+    least = Window.partitionBy(node).orderBy(F.xxhash64(*docs.columns))
+    repeated = docs.join(many, node == F.col("__many"), "left_semi").withColumn("__place", F.row_number().over(least))
+    return kept.unionByName(repeated.filter("__place = 1").drop("__place"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The first document of every group, all columns as they were.
+    """The first document of every group by id, all columns as they were.
 
-    Rows that repeat a kept id all stay; rows without an id stay.  The ids that
+    ``first_rows`` decides row by row instead.  Rows that repeat a kept id all stay; rows without an id stay.  The ids that
     go are the smaller side, so texts are shuffled only when even those are many.
     """
     extra = duplicate_components(docs, key=key, **options).filter("NOT kept")

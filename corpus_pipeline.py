@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from busweave.llm.decontaminate import drop_contaminated
-from busweave.llm.minhash import near_duplicates
+from busweave.llm.minhash import first_rows
 from busweave.llm.packing import pack
 from busweave.llm.quality import classify
 from busweave.llm.secrets import redact, scan_secrets
@@ -35,7 +35,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates, that of the smallest id."""
-    return near_duplicates(docs, percent=PERCENT, bands=BANDS, rows=ROWS)
+    return first_rows(docs, percent=PERCENT, bands=BANDS, rows=ROWS)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

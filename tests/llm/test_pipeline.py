@@ -60,6 +60,22 @@ def test_pairs_between_080_and_085_leave(spark):
     assert sorted(r.doc_id for r in left) == [2 * i for i in range(30)]
 
 
+def test_repeated_and_null_ids_are_decided_row_by_row(spark):
+    def text(name):
+        return " ".join(f"{name}{j}" for j in range(40))
+
+    rows = [(1, text("a"), 1), (2, text("a"), 2), (2, text("b"), 3), (3, text("c"), 4), (3, text("c"), 4), (None, text("d"), 5),
+            (None, text("d"), 5), (None, text("a"), 6), (None, text("e"), 7), (4, "", 8), (4, "", 8), (None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    left = corpus_pipeline.first_of_near_duplicates(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert sorted(r.n for r in left.collect()) == [1, 3, 4, 5, 7, 8, 8, 9]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, item, 1), (None, text("a"), 2), (7, item, 3), (7, text("b"), 4), (None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(r.n for r in corpus_pipeline.without_benchmarks(spark, docs, SF).collect()) == [2, 4, 5]
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
