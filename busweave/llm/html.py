@@ -11,7 +11,8 @@ own content with an article element; the chosen pages are those of the least
 hashes of their id.  Without labelled pages the prior weights hold.
 
 Defined results: null or empty html, and pages without content, give empty text;
-unclosed elements end with their page, an unclosed comment or script hides the
+barred p, li, td, th, dt, dd and option end at the tag that implies their end, other
+unclosed elements with their page; an unclosed comment or script hides the
 rest; repeated rows are kept; an empty table gives no rows; other columns,
 ``text`` and ``n_chars`` excepted, pass through.
 """
@@ -30,13 +31,13 @@ from busweave.llm.words import slices
 SAMPLE = 1000
 
 # Elements of the HTML standard by their role here.
-_RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|title"
+_RAW = "script|style|noscript|template|textarea|svg|iframe|object|select|title|annotation|annotation-xml"
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER = frozenset("head nav footer aside form button dialog menu fieldset figcaption".split())
+_NEVER = frozenset("head nav footer aside form button dialog menu fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|nav\w*|menus?|sidebars?|side|footer|"
@@ -48,8 +49,24 @@ _MARKS = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""display\s*:\s*none|\baria-hidden\s*=\s*["']?true|\shidden(?=[\s>=]|$)""", re.I)
+_BLOCKS = (
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul "
+)
+_ROW_END = "tr tbody thead tfoot "
+# element with an optional end tag: (start tags that imply it, elements inside which they do not)
+_IMPLIED = {
+    "p": (frozenset((_BLOCKS + _ROW_END + "li dt dd td th").split()), frozenset()),
+    "option": (frozenset("option optgroup".split()), frozenset()),
+    "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
+    **dict.fromkeys(("dt", "dd"), (frozenset("dt dd".split()), frozenset(["dl"]))),
+    **dict.fromkeys(("td", "th"), (frozenset((_ROW_END + "td th").split()), frozenset(["table"]))),
+}
+_MATH = frozenset("math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder "
+                  "munderover mtable mtr mtd mstyle mpadded mphantom mfenced menclose mmultiscripts".split())
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
+    rf"|<(?:{_RAW})(?:/|\s(?>[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=[\s\"']/))>"
     rf"|<({_RAW})\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>",
@@ -79,13 +96,27 @@ def _barred(name: str, attributes: str, inside: int) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
+def _ends(closing: str, name: str, end: bool, opened: list[str]) -> bool:
+    """True if a tag implies the end of the open barred element ``closing``.
+
+    Its successors do, outside nested lists and tables, and so does the end tag
+    of a parent: one of an element that was not opened inside.
+    """
+    if closing not in _IMPLIED:
+        return False
+    starts, scopes = _IMPLIED[closing]
+    if end:
+        return name not in (closing, "p", "br") and name not in _INLINE and name not in opened
+    return name in starts and not scopes.intersection(opened)
+
+
 def tokens(page: str):
     """(feature, text, within): tags have text None; words carry their context.
 
     ``within`` tells whether a labelled content element is open.
     """
     at = barred = link = item = inside = 0
-    closing = ""
+    closing, opened = "", []
     for match in _TOKEN.finditer(page):
         if match.start() > at:
             context = "barred" if barred else "link" if link else "item" if item else "word"
@@ -96,11 +127,22 @@ def tokens(page: str):
             continue
         name = name.lower()
         opens = not match[2] and name not in _VOID
+        if name in _MATH:
+            continue
+        if barred and _ends(closing, name, bool(match[2]), opened):
+            barred = 0
         if barred:
-            if name == closing:
+            if closing in _IMPLIED:
+                if opens:
+                    opened.append(name)
+                elif match[2] and name in opened:
+                    del opened[len(opened) - 1 - opened[::-1].index(name) :]
+                elif match[2] and name == closing:
+                    barred = 0
+            elif name == closing:
                 barred += 1 if opens else -1
         elif opens and _barred(name, match[4], inside):
-            barred, closing = 1, name
+            barred, closing, opened = 1, name, []
         elif name == "a":
             link = int(opens)
         elif name in ("li", "td", "th", "dt", "dd", "option"):

@@ -37,6 +37,18 @@ def test_odd_pages():
     assert len(html.main_text("<p>" + "word " * 300_000, WEIGHTS)) == 5 * 300_000 - 1
 
 
+def test_optional_end_tags_and_foreign_elements():
+    story = "The article has many words to read and to keep in full. "
+    for barred, want in (
+        ("<p class=notice>Read this<p>{}", ""), ("<ul><li class=ad>Buy<ul><li>a<li>b</ul>now<li>{}</ul>", ""),
+        ("<table><tr><td class=ad>Buy<td>{}</table>", ""), ("<div><p class=notice>Read <b>this</b></div>{}", ""),
+        ("<dl><dt class=ad>Buy<dd>{}</dl>", ""), ("<svg width='1' />{}", ""), ("<svg/>{}", ""), ("<div class=ad>Buy<p>a<p>b</div>{}", ""),
+        ("<figure><img><figcaption>A caption</figcaption></figure>{}", "A caption "),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {}", "so x=2 "),
+    ):
+        assert html.main_text(barred.format(story * 3), WEIGHTS) == plain(want + story * 3), barred
+
+
 def test_labelled_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     out = html.extract_main_text(pages.selectExpr("*", "1 AS text"))
