@@ -4,9 +4,11 @@ Texts become words in two forms: plain (lower case, without punctuation) and
 template, where numbers, units and names are typed placeholders.  Windows of
 ``width`` words are hashed; windows of the benchmark's items meet those of the
 documents in a hash join, so a question is found with other numbers, units or
-names too.  A template match has to fill the slots consistently: along one
-alignment of item and document each item value stands for one document value
-and the other way round.
+names too, also by names that begin a sentence (a second template form types every
+capitalised word).  Windows dense in slots grow until they hold enough literals.
+A template match has to fill the slots consistently: along one
+alignment of item and document each item value stands for one document value;
+two item values may stand for the same one.
 
 Items shorter than a window match as a whole from ``least_words`` words on;
 shorter ones match nothing.  The benchmark's windows are counted first and
@@ -32,6 +34,8 @@ LEAST_SHARE = 0.3
 LEAST_RUN = 5
 BROADCAST_WINDOWS = 500_000
 
+_STEPS = (12, 16, 24, 32, 48, 64, 96, 128)
+
 # The typed placeholders (their mark occurs in no word) and the units they cover.
 MARK = "\u241f"
 NUMBER, UNIT, NAME = MARK + "number", MARK + "unit", MARK + "name"
@@ -46,6 +50,7 @@ _PUNCTUATION = r"[!-#&-/:-@\[-`{-~]+"
 _SPACES = r"[\x09-\x0D]+\x20*|\x20[\x20\x09-\x0D]+"
 _SPACE = r"[\x20\x09-\x0D]+"
 _NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;]\x20.)\p{Ll}+(?=[\s\p{Punct}]|$)"
+_CAPITALISED = r"(?<![^\s\p{Punct}])\p{Lu}\p{Ll}+(?=[\s\p{Punct}]|$)"
 _NUMBER = r"(?<![^\x20])[$€£]?\p{N}+(%|€|\$|£|st|nd|rd|th)?(?![^\x20])"
 _MEASURE = rf"(?<![^\x20])\p{{N}}+(?i:{UNITS})(?![^\x20])"
 _UNIT = rf"(?<={NUMBER} )(?i:{UNITS})(?![^\x20])"
@@ -56,18 +61,23 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(F.trim(F.regexp_replace(text, _PUNCTUATION, ""))), _SPACE, -1)
 
 
-def _has_slots(text: Column) -> Column:
-    return text.rlike(r"\p{N}|" + _NAME)
+def _has_slots(text: Column, name: str = _NAME) -> Column:
+    return text.rlike(r"\p{N}|" + name)
 
 
-def _typed_words(text: Column) -> Column:
+def _typed_words(text: Column, name: str = _NAME) -> Column:
     """The same words with placeholders for numbers, units and names."""
-    named = F.regexp_replace(F.regexp_replace(text, _SPACES, " "), _NAME, NAME)
+    named = F.regexp_replace(F.regexp_replace(text, _SPACES, " "), name, NAME)
     bare = F.regexp_replace(F.trim(F.regexp_replace(named, _PUNCTUATION, "")), _SPACES, " ")
     typed = F.regexp_replace(F.regexp_replace(bare, _MEASURE, NUMBER + UNIT), _NUMBER, NUMBER)
     return F.split(F.lower(F.regexp_replace(typed, _UNIT, UNIT)), _SPACE, -1)
 
 
+def _hash(places: list[Column], window: Column) -> Column:
+    """Hash of a window's words; of long windows as an array, which keeps the generated code small."""
+    return F.xxhash64(*places) if len(places) <= 2 * WIDTH else F.xxhash64(window)
+
+
 def _windows(table: DataFrame, keep: list[str], words: str, width: int) -> DataFrame:
     """(keep, at, hash): one row per window of ``width`` words.
 
@@ -77,7 +87,34 @@ def _windows(table: DataFrame, keep: list[str], words: str, width: int) -> DataF
     rows = table.select(*keep, words, F.posexplode(words).alias("at", "__word"))
     rows = rows.filter(F.col("at") <= F.size(words) - width)
     places = [F.get(F.col(words), F.col("at") + j) for j in range(width)]
-    return rows.select(*keep, "at", F.xxhash64(*places).alias("hash"))
+    return rows.select(*keep, "at", _hash(places, F.slice(words, F.col("at") + 1, width)).alias("hash"))
+
+
+def _template_windows(items: DataFrame, words: str, least: int) -> DataFrame:
+    """Windows with slots, each grown until it holds ``least`` literals.
+
+    A window grows to the right by steps, then to the left, up to the whole item;
+    it stands for the place ``item_at`` of the window it grew from.
+    """
+    steps = F.array(*[F.lit(n) for n in _STEPS])
+    sizes = F.array_distinct(F.concat(
+        F.array("size"), F.filter(steps, lambda n: (n > F.col("size")) & (n < F.col("n_words"))), F.array("n_words")
+    ))
+    rows = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.col("n_words") - F.col("size"))))
+
+    def grown(n):
+        start = F.greatest(F.lit(0), F.least(F.col("item_at"), F.col("n_words") - n))
+        part = F.slice(words, start + 1, n)
+        return F.struct(start.alias("start"), n.alias("size"), part.alias("item_typed"),
+                        F.size(F.filter(part, lambda w: w.contains(MARK))).alias("marked"))
+
+    fit = F.filter(F.transform(sizes, grown), lambda g: g["size"] - g["marked"] >= least)
+    rows = rows.withColumn("g", F.get(fit, F.lit(0))).filter("g.marked > 0")
+    return rows.select(
+        "item_id", "n_item_windows", "item_at", "g.start", "g.size",
+        F.slice("plain", F.col("g.start") + 1, F.col("g.size")).alias("item_plain"), "g.item_typed",
+        F.slice("typed", F.col("g.start") + 1, F.col("g.size")).alias("narrow"),
+    )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -101,29 +138,38 @@ def contaminated_texts(
     """
     body = F.coalesce(F.col("body"), F.lit(""))
     items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("body"))
-    items = with_computed(items, {"plain": _words(body), "typed": _typed_words(body)}, keep=["item_id"])
+    items = with_computed(
+        items, {"plain": _words(body), "typed": _typed_words(body), "bold": _typed_words(body, _CAPITALISED)}, keep=["item_id"]
+    )
     items = items.withColumn("n_words", F.size("plain")).filter(F.col("n_words") >= least_words)
-    items = settle(items.withColumn("size", F.least("n_words", F.lit(width))), "benchmark-items")
+    items = items.withColumn("size", F.least("n_words", F.lit(width)))
+    items = settle(items.withColumn("n_item_windows", F.col("n_words") - F.col("size") + 1), "benchmark-items")
     raw = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body")).withColumn("tk", F.xxhash64("body"))
     plain = with_computed(raw, {"plain": _words(body)}, keep=["doc_id", "tk"])
     typed = with_computed(raw, {"typed": _typed_words(body)}, where=_has_slots(body), keep=["doc_id", "tk"])
+    bold = with_computed(
+        raw, {"bold": _typed_words(body, _CAPITALISED)}, where=_has_slots(body, _CAPITALISED), keep=["doc_id", "tk"]
+    )
+    whole = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.col("n_words") - F.col("size"))))
+    whole = whole.select(
+        "item_id", "n_item_windows", "item_at", F.col("item_at").alias("start"), "size",
+        F.slice("plain", F.col("item_at") + 1, F.col("size")).alias("item_plain"),
+        F.slice("typed", F.col("item_at") + 1, F.col("size")).alias("item_typed"),
+    )
     sides = []
-    for size in [r.size for r in items.select("size").distinct().orderBy("size").collect()]:
-        for source, words in ((plain, "plain"), (typed, "typed")):
-            own = items.filter(F.col("size") == size)
-            wanted = _windows(own.withColumn("w", F.col(words)), ["item_id", "n_words", "plain", "typed"], "w", size)
-            wanted = wanted.select(
-                F.col("hash").alias("wanted"), F.col("at").alias("item_at"), "item_id", "n_words",
-                F.slice("plain", F.col("at") + 1, size).alias("item_plain"),
-                F.slice("typed", F.col("at") + 1, size).alias("item_typed"), F.lit(size).alias("size"),
-            )
-            if words == "typed":
-                marked = F.size(F.filter("item_typed", lambda w: w.contains(MARK)))
-                wanted = wanted.filter((marked > 0) & (size - marked >= least_literals))
-            wanted = settle(wanted, "benchmark-windows")
-            if wanted.count() <= broadcast_windows:
-                wanted = F.broadcast(wanted)
-            found = _windows(source, ["doc_id", "tk"], words, size).join(wanted, F.col("hash") == F.col("wanted"))
+    for source, words in ((plain, "plain"), (typed, "typed"), (bold, "bold")):
+        wanted = whole if words == "plain" else _template_windows(items, words, least_literals)
+        if words == "bold":
+            wanted = wanted.filter("item_typed <> narrow")
+        wanted = wanted.drop("narrow").withColumn("form", F.lit(words))
+        every = settle(wanted, "benchmark-windows")
+        for size in [r.size for r in every.select("size").distinct().orderBy("size").collect()]:
+            part = F.col("item_plain" if words == "plain" else "item_typed")
+            own = every.filter(F.col("size") == size)
+            own = settle(own.withColumn("wanted", _hash([F.get(part, F.lit(j)) for j in range(size)], part)), "benchmark-size")
+            if own.count() <= broadcast_windows:
+                own = F.broadcast(own)
+            found = _windows(source, ["doc_id", "tk"], words, size).join(own, F.col("hash") == F.col("wanted"))
             sides.append(found.drop("hash", "wanted").withColumnsRenamed({"doc_id": "__id", "tk": "__tk"}))
     if not sides:
         return docs.sparkSession.createDataFrame(
@@ -143,13 +189,14 @@ def _with_words(raw: DataFrame, hits: DataFrame) -> DataFrame:
     per_doc = hits.groupBy("__id", "__tk").agg(F.collect_set(F.struct(*fields)).alias("__hits"))
     joined = raw.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("tk").eqNullSafe(F.col("__tk")))
     body = F.coalesce(F.col("body"), F.lit(""))
-    rows = with_computed(joined, {"__plain": _words(body), "__typed": _typed_words(body)}, keep=["doc_id", "tk", "__hits"])
+    rows = with_computed(joined, {"__plain": _words(body), "__typed": _typed_words(body), "__bold": _typed_words(body, _CAPITALISED)}, keep=["doc_id", "tk", "__hits"])
     full = F.transform(
         "__hits",
         lambda h: F.struct(
             *[h[c].alias(c) for c in fields],
             F.slice("__plain", h["at"] + 1, h["size"]).alias("plain"),
-            F.slice("__typed", h["at"] + 1, h["size"]).alias("typed"),
+            F.when(h["form"] == "bold", F.slice("__bold", h["at"] + 1, h["size"]))
+            .otherwise(F.slice("__typed", h["at"] + 1, h["size"])).alias("typed"),
         ),
     )
     return rows.select("doc_id", "tk", F.inline(full))
@@ -159,15 +206,17 @@ def _consistent(matches: DataFrame, least_literals: int, least_share: float, lea
     """Matches by alignment whose slots agree.
 
     Hash matches are confirmed on the words.  Each distinct (item value, document
-    value) of an alignment is counted once; the mapping holds if no value occurs
-    in two pairs.
+    value) of an alignment is counted once; the mapping holds if no item value
+    occurs in two pairs.  An alignment is judged without and with the windows in
+    which words that begin a sentence are names, and the better result counts.
     """
     exact = F.col("plain") == F.col("item_plain")
     literals = F.size(F.filter("typed", lambda w: ~w.contains(MARK)))
     template = (F.col("typed") == F.col("item_typed")) & (literals >= least_literals)
     rows = matches.filter(exact | template).select(
-        "doc_id", "tk", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at",
-        (F.col("n_words") - F.col("size") + 1).alias("n_item_windows"), exact.alias("same"),
+        "doc_id", "tk", "item_id", (F.col("at") - F.col("start")).alias("offset"), "item_at",
+        "n_item_windows", exact.alias("same"),
+        F.explode(F.when(F.col("form") == "bold", F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("named"),
         F.when(
             ~exact,
             F.filter(
@@ -176,14 +225,14 @@ def _consistent(matches: DataFrame, least_literals: int, least_share: float, lea
             ),
         ).alias("slots"),
     )
-    by = ["doc_id", "tk", "item_id", "offset", "n_item_windows"]
-    windows = rows.groupBy(*by, "item_at").agg(F.max("same").alias("same"), F.any_value("slots", True).alias("slots"))
+    by = ["doc_id", "tk", "item_id", "offset", "n_item_windows", "named"]
+    windows = rows.groupBy(*by, "item_at").agg(F.max("same").alias("same"), F.flatten(F.collect_set("slots")).alias("slots"))
     windows = settle(windows, "benchmark-matches")
     pairs = windows.filter("NOT same").select(*by, F.explode("slots").alias("slot")).select(
         *by, "slot.item", "slot.doc"
     ).distinct()
     agree = pairs.groupBy(*by).agg(
-        F.count("*").alias("n_slots"), F.count_distinct("item").alias("a"), F.count_distinct("doc").alias("b"),
+        F.count("*").alias("n_slots"), F.count_distinct("item").alias("a"),
         F.max((F.col("item") != F.col("doc")).cast("int")).alias("differs"),
     )
     summary = windows.groupBy(*by).agg(
@@ -191,13 +240,15 @@ def _consistent(matches: DataFrame, least_literals: int, least_share: float, lea
     ).select(*[F.col(c).alias("_" + c) for c in by], "n_all", "n_same")
     same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in by]
     joined = summary.join(agree, same, "left")
-    holds = F.col("n_slots").isNull() | ((F.col("a") == F.col("n_slots")) & (F.col("b") == F.col("n_slots")))
+    holds = F.col("n_slots").isNull() | (F.col("a") == F.col("n_slots"))
     counted = joined.select(
         *[F.col("_" + c).alias(c) for c in by],
         F.when(holds, F.col("n_all")).otherwise(F.col("n_same")).alias("n_matched"),
         F.when(holds, F.coalesce("n_slots", F.lit(0))).otherwise(0).cast("long").alias("n_slots"),
         F.coalesce(holds & (F.col("differs") == 1), F.lit(False)).alias("changed"),
     )
+    best = F.max_by(F.struct("n_matched", "n_slots", "changed"), F.struct("n_matched", -F.col("named"))).alias("best")
+    counted = counted.groupBy(*by[:-1]).agg(best).select(*by[:-1], "best.*")
     enough = (F.col("n_matched") >= F.least(F.lit(least_run), F.col("n_item_windows"))) | (
         F.col("n_matched") >= least_share * F.col("n_item_windows")
     )

@@ -48,3 +48,18 @@ def test_empty_tables(tables):
     assert contaminated(docs.filter("false"), items).count() == 0
     assert contaminated(docs, items.filter("false")).count() == 0
     assert drop_contaminated(docs, items.filter("false")).count() == len(DOCS)
+
+
+@pytest.mark.parametrize("item, copy, found", [
+    ("Tom has 3 apples. Tom buys 4 more. Tom eats 2.", "Here: Maria has 5 apples. Maria buys 9 more. Maria eats 7.", True),
+    ("A box holds 3 pens and another box holds 5 pens after some minutes or a few hours of work",
+     "A box holds 4 pens and another box holds 4 pens after some hours or a few hours of work", True),
+    ("compute 12 + 7 34 8 90 11 2 5 and then subtract 4 6 from this whole sum",
+     "compute 13 + 8 35 9 91 12 3 6 and then subtract 5 7 from this whole sum", True),
+    ("A box holds 4 pens and another box holds 4 pens after some hours or a few hours of work",
+     "A box holds 3 pens and another box holds 5 pens after some minutes or a few hours of work", False),
+])
+def test_changed_values(spark, item, copy, found):
+    docs = spark.createDataFrame([(1, copy), (2, "Nothing of this kind is here. Tom sleeps 3 hours.")], "doc_id long, text string")
+    rows = contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.changed, r.n_matched >= min(5, r.n_item_windows)) for r in rows] == [(1, True, True)] * found
