@@ -2,16 +2,17 @@
 
 Documents become tokens with an end token; longer ones are cut into pieces of
 ``capacity`` tokens, of which the first may be shorter.  Full pieces are
-sequences of their own.  The rest is packed in bulk-synchronous rounds: pieces
-and gaps are range-sorted by size; a sweep from the largest size down gives each
-piece its successor, the smallest gap that holds it; rank decides between pieces
-that want the same gap; matched gaps shrink, and the next round begins.  When no
-gap holds any piece, as many sequences open as the remaining tokens need.
-
-Pieces of one size are interchangeable, so a round works on runs (size, ranks):
-Spark range-sorts the pieces and ranks them within their size; the state of the
-rounds is at most ``capacity`` sizes and their gaps whatever the input, and a
-join by size and rank carries the matches back to the pieces.
+sequences of their own.
+
+The distributed method, range-sorted rows of documents and gaps matched by
+successor sweeps in Spark, is replaced: pieces of one size are interchangeable,
+so Spark only range-sorts, counts and ranks the pieces, and ``fit_rounds`` plans
+every match in the driver from the histogram of sizes.  Gaps are never rows of a
+table.  A sweep from the largest size down gives each run of pieces the smallest
+gap that holds it; matched gaps shrink, and the next round begins.  When no gap
+holds any piece, as many sequences open as the remaining tokens need.  A join by
+size and rank carries the plan back to the pieces.  The driver's state and the
+plan grow with ``capacity``, not with the input.
 
 Defined results: null text is empty, and an empty document is its end token;
 repeated rows and ids are documents of their own; null ids are kept; an empty
