@@ -101,9 +101,51 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN summed USING (doc_id)"""
 
 
+def _merkle(heights: int = 6) -> str:
+    """Trees of up to 16 ** heights leaves, and as many sources."""
+    value = lambda v: f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(value, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "CASE WHEN xor(c, e) & 1 = 1 THEN xor(xor(c, e) >> 1, 3988292384) ELSE xor(c, e) >> 1 END"
+    crc = f"xor(list_reduce(list_transform({bits}, lambda b: CAST(b AS BIGINT)), lambda c, e: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+    parts = [f"""
+l AS (
+  SELECT doc_id, {leaf('text')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS other,
+    dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree, source FROM documents),
+f0 AS (
+  SELECT row_number() OVER () AS id, *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS n, coalesce(other, leaf) AS now, '' AS proof, '' AS subroot FROM l),
+a0 AS (SELECT tree, place, n, leaf AS digest FROM f0)"""]
+
+    def climb(nodes: str, paths: str, k: int) -> str:
+        return f"""
+{nodes}{k + 1} AS (
+  SELECT tree, place // 16 AS place, (n + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY place)) AS digest
+  FROM {nodes}{k} WHERE n > 1 GROUP BY tree, place // 16, n UNION ALL SELECT * FROM {nodes}{k} WHERE n = 1),
+{paths}{k + 1} AS (
+  SELECT f.id, f.tree, f.place // 16 AS place, (f.n + 15) // 16 AS n,
+    sha256(string_agg(CASE WHEN a.place = f.place THEN f.now ELSE a.digest END, '' ORDER BY a.place)) AS now,
+    f.proof || coalesce(string_agg(a.digest, '' ORDER BY a.place) FILTER (a.place <> f.place), '') AS proof
+  FROM {paths}{k} f JOIN {nodes}{k} a ON a.tree = f.tree AND a.place // 16 = f.place // 16 AND f.n > 1
+  GROUP BY f.id, f.tree, f.place, f.n, f.now, f.proof
+  UNION ALL SELECT id, tree, place, n, now, proof FROM {paths}{k} WHERE n = 1)"""
+
+    parts += [climb("a", "f", k) for k in range(heights)]
+    parts.append(f"""
+b0 AS (SELECT 0 AS tree, tree AS place, (SELECT count(*) FROM a{heights}) AS n, digest FROM a{heights}),
+g0 AS (SELECT id, 0 AS tree, tree AS place, (SELECT count(*) FROM a{heights}) AS n, now, proof FROM f{heights})""")
+    parts += [climb("b", "g", k) for k in range(heights)]
+    return f"""WITH {','.join(parts)}
+SELECT f0.doc_id, f0.leaf, a{heights}.digest AS subroot, b{heights}.digest AS root, sha256(g.proof) AS proof_sha256,
+  g.now AS folded_root, g.now = b{heights}.digest AS verified
+FROM f0 JOIN g{heights} g USING (id) JOIN a{heights} ON a{heights}.tree = f0.tree CROSS JOIN b{heights}"""
+
+
 ORACLE_SQL = {
     "op7_warc": WARC,
     "op8_substring_dedup": SUBSTRINGS,
     "op9_secret_scan": _secrets(),
     "op10_circulant_minhash": MINHASH,
+    "op11_merkle_manifest": _merkle(),
 }
