@@ -101,6 +101,33 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN summed USING (doc_id)"""
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(text: str) -> str:
+    return f"unnest(regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}'))"
+
+
+RANKING = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+t AS (SELECT row, {_terms('text')} AS term FROM d),
+p AS (SELECT row, term, count(*) AS tf FROM t GROUP BY ALL),
+s AS (SELECT row, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM s),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM f, c),
+m AS (SELECT row, 10 + (90 * n * n_docs) // n_terms AS m FROM s, c),
+i AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+q AS (SELECT DISTINCT item, item_id, {_terms('text')} AS term FROM i),
+r AS (
+  SELECT item, item_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank,
+  doc_id, score
+FROM r JOIN d USING (row) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) <= 10"""
+
+
 def _merkle(heights: int = 6) -> str:
     """Trees of up to 16 ** heights leaves, and as many sources."""
     value = lambda v: f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')"
@@ -148,4 +175,5 @@ ORACLE_SQL = {
     "op9_secret_scan": _secrets(),
     "op10_circulant_minhash": MINHASH,
     "op11_merkle_manifest": _merkle(),
+    "op13_ranked_search": RANKING,
 }

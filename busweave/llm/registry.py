@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 from busweave.llm import (
-    decontaminate, hilbert, html, merkle, minhash, packing, pii, quality, reference_sql, secrets, substrings,
-    tokencount, warc,
+    decontaminate, hilbert, html, merkle, minhash, packing, pii, quality, ranking, reference_sql, secrets,
+    substrings, tokencount, warc,
 )
 
-_MODULES = (decontaminate, hilbert, html, minhash, packing, pii, quality, secrets, substrings, warc, merkle, tokencount)
+_MODULES = (decontaminate, hilbert, html, minhash, packing, pii, quality, secrets, substrings, warc, merkle, tokencount, ranking)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
