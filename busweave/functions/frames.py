@@ -76,18 +76,27 @@ def status_ok(frm: Column) -> Column:
 
 @dataclass(frozen=True)
 class BitField:
-    """Where a signal sits; missing parts take the format's defaults."""
+    """Where a signal sits; missing parts take the format's defaults.
+
+    The start bit is the field's most significant one, which runs on into bit 7
+    of the next byte.  Where ``little`` holds it is the least significant one,
+    and the field runs up into bit 0 of the next byte.
+    """
 
     start_byte: Column
     start_bit: Column
     length: Column
+    little: Column | None = None
 
     @classmethod
-    def of(cls, start_byte: Column, start_bit: Column, length: Column) -> "BitField":
+    def of(
+        cls, start_byte: Column, start_bit: Column, length: Column, little: Column | None = None
+    ) -> "BitField":
         return cls(
             F.coalesce(start_byte.cast("int"), F.lit(0)),
             F.coalesce(start_bit.cast("int"), F.lit(0)),
             F.coalesce(length.cast("int"), F.lit(1)),
+            None if little is None else F.coalesce(little, F.lit(False)),
         )
 
     @property
@@ -96,8 +105,10 @@ class BitField:
 
     @property
     def byte_count(self) -> Column:
-        whole = F.floor((7 - self.start_bit + self.length + 7) / 8).cast("int")
-        return F.greatest(whole, F.lit(0))
+        above = 7 - self.start_bit
+        if self.little is not None:
+            above = F.when(self.little, self.start_bit).otherwise(above)
+        return F.greatest(F.floor((above + self.length + 7) / 8).cast("int"), F.lit(0))
 
     def text(self, frm: Column) -> Column:
         """Hexadecimal text of the bytes the field touches."""
@@ -128,6 +139,9 @@ def signal_bits(frm: Column, field: BitField) -> Column:
     above 7 lies before the byte and reads as zeros.
     """
     touched = field.text(frm)
+    if field.little is not None:
+        pairs = F.regexp_extract_all(touched, F.lit("(..)"), F.lit(1))
+        touched = F.when(field.little, F.array_join(F.reverse(pairs), "")).otherwise(touched)
     head, tail = F.left(touched, F.lit(_DIGITS)), F.substring(touched, _DIGITS + 1, 10)
     as_bits = lambda h: F.when(
         F.length(h) > 0, F.lpad(F.conv(h, 16, 2), F.length(h) * 4, F.lit("0"))
@@ -138,7 +152,11 @@ def signal_bits(frm: Column, field: BitField) -> Column:
     ).otherwise(F.array_join(F.transform(parts, as_bits), ""))
     before = F.greatest(field.start_bit - 7, F.lit(0))
     padded = F.concat(F.repeat(F.lit("0"), before), bits)
-    return F.substring(padded, F.greatest(8 - field.start_bit, F.lit(1)), field.length)
+    straight = F.substring(padded, F.greatest(8 - field.start_bit, F.lit(1)), field.length)
+    if field.little is None:
+        return straight
+    turned = F.substring(bits, 8 * field.byte_count - field.start_bit - field.length + 1, field.length)
+    return F.when(field.little, turned).otherwise(straight)
 
 
 def bits_to_number(bits: Column) -> Column:
@@ -149,6 +167,38 @@ def bits_to_number(bits: Column) -> Column:
     )
 
 
+def bits_to_digits(bits: Column) -> Column:
+    """Unsigned value of any number of bits as decimal text.
+
+    Up to 64 bits one conversion serves.  Longer values are carried as limbs of
+    nine digits, to which the bits are added 29 at a time.
+    """
+    div = lambda a, b: F.call_function("div", a, b)
+    limb_of = F.lit(1_000_000_000).cast("bigint")
+
+    def add(limbs: Column, part: Column) -> Column:
+        times = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(part))
+        start = F.struct(
+            F.array().cast("array<bigint>").alias("out"), F.conv(part, 2, 10).cast("bigint").alias("carry")
+        )
+        moved = F.aggregate(
+            limbs, start,
+            lambda done, limb: F.struct(
+                F.concat(done["out"], F.array((limb * times + done["carry"]) % limb_of)).alias("out"),
+                div(limb * times + done["carry"], limb_of).alias("carry"),
+            ),
+            lambda done: F.concat(done["out"], F.array(done["carry"])),
+        )
+        return moved
+
+    parts = F.regexp_extract_all(bits, F.lit("(.{1,29})"), F.lit(1))
+    limbs = F.aggregate(parts, F.array().cast("array<bigint>"), add)
+    text = F.array_join(F.transform(F.reverse(limbs), lambda n: F.lpad(n.cast("string"), 9, "0")), "")
+    return F.when(F.length(bits) <= NUMBER_BITS, bits_to_number(bits).cast("string")).otherwise(
+        F.regexp_replace(text, "^0+(?=.)", "")
+    )
+
+
 def bits_to_double(bits: Column) -> Column:
     """Unsigned value of any number of bits, to double precision."""
     parts = F.regexp_extract_all(bits, F.lit("(.{1,32})"), F.lit(1))
@@ -159,6 +209,28 @@ def bits_to_double(bits: Column) -> Column:
     )
 
 
+def _negative(bits: Column, signed: Column) -> Column:
+    return signed & bits.startswith("1")
+
+
+def _opposite(bits: Column) -> Column:
+    """Bits of ``-1 - value`` of a negative value."""
+    return F.translate(bits, "01", "10")
+
+
+def signed_number(bits: Column, signed: Column) -> Column:
+    """Two's complement where ``signed`` holds; null if the value itself takes more than 64 bits."""
+    number = lambda b: bits_to_number(b).cast("decimal(21,0)")
+    value = F.when(_negative(bits, signed), -1 - number(_opposite(bits))).otherwise(number(bits))
+    return value.cast("decimal(21,0)")
+
+
+def signed_double(bits: Column, signed: Column) -> Column:
+    """Value of any number of bits to double precision, as two's complement where ``signed`` holds."""
+    wide = F.when(_negative(bits, signed), -1.0 - bits_to_double(_opposite(bits))).otherwise(bits_to_double(bits))
+    return F.when(F.length(bits) <= NUMBER_BITS, signed_number(bits, signed).cast("double")).otherwise(wide)
+
+
 def choice_label(choices: Column, raw: Column) -> Column:
     return choices[raw.cast("string")]
 

@@ -24,17 +24,18 @@ def with_frame(messages: DataFrame) -> DataFrame:
 def decode_frames(pairs: DataFrame, keep_skipped: bool = False) -> DataFrame:
     """Decode rows that hold a frame and a definition.
 
-    Adds ``status``, ``decoded_bits``, ``signal_value``, ``physical_value``,
+    Adds ``status``, ``decoded_bits``, ``signal_value`` (up to 64 bits),
+    ``signal_digits`` (any length, as text), ``physical_value``,
     ``match_value``, ``match_label`` and ``match_status``.  Rows that cannot be
     decoded are dropped, or kept with their status.
     """
-    frm, bits, raw = F.col("_frame"), F.col("_bits"), F.col("_raw")
+    frm, bits, raw, digits = F.col("_frame"), F.col("_bits"), F.col("_raw"), F.col("_digits")
     field = B.BitField.of(F.col("start_byte"), F.col("start_bit"), F.col("length"))
     ok, choices = F.col("_reason") == "ok", F.col("choices")
 
     checked = pairs.withColumn("_reason", B.skip_reason(frm, F.col("msgid"), field))
     sliced = checked.withColumn("_bits", F.when(ok, B.signal_bits(frm, field)))
-    valued = sliced.withColumn("_raw", B.bits_to_number(bits)).withColumn(
+    valued = sliced.withColumns({"_raw": B.bits_to_number(bits), "_digits": B.bits_to_digits(bits)}).withColumn(
         "_physical",
         F.when(
             ~B.has_choices(choices),
@@ -47,16 +48,17 @@ def decode_frames(pairs: DataFrame, keep_skipped: bool = False) -> DataFrame:
         ),
     )
     physical = F.col("_physical")
-    label = F.when(B.has_choices(choices), B.choice_label(choices, raw))
-    status = B.match_status(choices, raw, physical, F.col("minimum"), F.col("maximum"))
+    label = F.when(B.has_choices(choices), B.choice_label(choices, digits))
+    status = B.match_status(choices, digits, physical, F.col("minimum"), F.col("maximum"))
     return with_computed(
         valued,
         {
             "status": F.col("_reason"),
             "decoded_bits": bits,
             "signal_value": raw,
+            "signal_digits": digits,
             "physical_value": physical,
-            "match_value": F.when(label.isNotNull(), raw.cast("double")).otherwise(physical),
+            "match_value": F.when(label.isNotNull(), digits.cast("double")).otherwise(physical),
             "match_label": label,
             "match_status": F.when(ok, status),
         },

@@ -6,6 +6,11 @@ all rows spans many chunks.  A window works inside each (chunk, key), and only
 the first and last row of each (chunk, key) meet in a second, small window that
 carries values across chunk borders.
 
+A ``chunk`` column that never falls in ``order``, such as a time slot, takes the
+place of the range partitions: rows are then shuffled once by (chunk, key), and
+what precedes the step does not run a second time for a sample.  A slot should
+hold many rows of a busy key, and a key few slots compared with its rows.
+
 ``order`` must be unique per key; otherwise tied rows may change places between
 the steps.
 """
@@ -19,9 +24,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _CHUNK, _GROUP, _HEAD, _TAIL = "_chunk", "_group", "_head", "_tail"
 _HELPERS = (_CHUNK, _GROUP, _HEAD, _TAIL)
 _BORDER = -1
+_FIRST_CHUNK = -(1 << 62)
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _chunked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None = None
+) -> DataFrame:
+    if chunk is not None:
+        # even numbers, so that none is the border's; nulls sort first
+        return df.withColumn(_CHUNK, F.coalesce(chunk.cast("bigint") * 2, F.lit(_FIRST_CHUNK)))
     spread = df.repartitionByRange(*keys, *order)
     return spread.withColumn(_CHUNK, F.spark_partition_id())
 
@@ -49,6 +60,7 @@ def with_neighbours(
     previous: str = "_previous",
     following: str = "_following",
     keep: Callable[[Column, Column], Column] | None = None,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Add structs of ``values`` from the row before and after, null at the ends.
 
@@ -60,7 +72,7 @@ def with_neighbours(
     before, after = F.col(previous), F.col(following)
     inside, borders = _inside(keys, order), _borders(keys, order)
 
-    local = _chunked(df, keys, order).withColumns(
+    local = _chunked(df, keys, order, chunk).withColumns(
         {previous: F.lag(seen).over(inside), following: F.lead(seen).over(inside)}
     )
     # A struct is never null itself, so a null marks the end of a chunk.
@@ -86,6 +98,7 @@ def carry_forward(
     value: str,
     name: str,
     wanted: Column | None = None,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Add ``name``: the last non-null ``value`` up to and including each row.
 
@@ -97,7 +110,7 @@ def carry_forward(
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = _borders(keys, order).rowsBetween(Window.unboundedPreceding, -1)
 
-    local = _chunked(df, keys, order).withColumns(
+    local = _chunked(df, keys, order, chunk).withColumns(
         {
             "_local": F.last(value, ignorenulls=True).over(so_far),
             _HEAD: F.lag(F.lit(True)).over(inside).isNull(),
@@ -116,6 +129,34 @@ def carry_forward(
     return done if wanted is None else done.filter(wanted)
 
 
+def running_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    chunk: Column | None = None,
+) -> DataFrame:
+    """Add ``name``: the sum of ``value`` up to and including each row; nulls add nothing."""
+    inside = _inside(keys, order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    before = _borders(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0)
+
+    local = _chunked(df, keys, order, chunk).withColumns(
+        {
+            "_local": F.coalesce(F.sum(value).over(so_far), nothing),
+            _HEAD: F.lag(F.lit(True)).over(inside).isNull(),
+            _TAIL: F.lead(F.lit(True)).over(inside).isNull(),
+        }
+    )
+    across = _with_group(local, F.col(_HEAD) | F.col(_TAIL)).withColumn(
+        "_incoming", F.coalesce(F.sum(F.when(F.col(_TAIL), F.col("_local"))).over(before), nothing)
+    )
+    handed_on = F.first(F.when(F.col(_HEAD), F.col("_incoming"))).over(so_far)
+    return across.withColumn(name, F.col("_local") + handed_on).drop("_local", "_incoming", *_HELPERS)
+
+
 def global_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: zero-based place of each row in the order of the whole table."""
     inside = _inside((), order)

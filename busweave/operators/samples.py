@@ -218,7 +218,9 @@ def quota_sample(
         prefix <= F.col("_last")
     )
     rank = F.row_number().over(Window.partitionBy("stratum").orderBy("draw", key))
-    return near.withColumn("place", rank).filter(F.col("place") <= quota).drop(
+    # the plain number lets every task keep no more than the largest quota of a stratum
+    ranked = near.withColumn("place", rank).filter(F.col("place") <= max(quotas.values(), default=0))
+    return ranked.filter(F.col("place") <= quota).drop(
         "draw", "_stratum", "_last"
     )
 

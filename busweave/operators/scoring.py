@@ -65,17 +65,19 @@ def score_in_batches(
     key: str = "line_no",
     batch_lines: int = K.BATCH_LINES,
 ) -> DataFrame:
-    """Send prompts in batches of similar length: ``(key, reply, failed, budget)``.
+    """Send prompts in batches of similar length: ``(key, reply, failed, error, budget)``.
 
     ``make_scorer`` runs once per task; let it cache its model per worker.  Rows
     are range-partitioned by length, so a common length still spreads over many
-    tasks.  A batch whose call fails marks its own rows and the rest go on.
+    tasks.  A batch whose call fails marks its own rows, with the reason in
+    ``error``, and the rest go on.
     """
     key_type = lines.schema[key].dataType
     schema = T.StructType([
         T.StructField(key, key_type),
         T.StructField("reply", T.StringType()),
         T.StructField("failed", T.BooleanType()),
+        T.StructField("error", T.StringType()),
         T.StructField("budget", T.IntegerType()),
     ])
     prompts = (
@@ -98,27 +100,31 @@ def score_in_batches(
             budget = int(max(low, min(longest - less, high)))
             size = len(prompts)
             try:
-                replies = list(scorer(prompts, budget))
-                # a wrong number of replies cannot be put beside the prompts
-                replies = replies if len(replies) == size else [None] * size
-            except Exception:
-                replies = [None] * size
-            return replies, [budget] * size
+                replies, error = list(scorer(prompts, budget)), None
+                if len(replies) != size:
+                    # they cannot be put beside the prompts
+                    replies, error = [None] * size, f"{len(replies)} replies to {size} prompts"
+            except Exception as failure:
+                replies, error = [None] * size, f"{type(failure).__name__}: {failure}"
+            errors = [error or ("no reply" if reply is None else None) for reply in replies]
+            return replies, errors, [budget] * size
 
         def score_rows(rows):
             """One output frame for a run of whole batches (or the last rest)."""
             texts, lengths = rows["prompt"].tolist(), rows["length"].tolist()
-            replies, budgets = [], []
+            replies, errors, budgets = [], [], []
             for at in range(0, len(texts), batch_lines):
                 # Lines are sorted, so the last of a batch is its longest.
                 batch = texts[at:at + batch_lines]
-                got, spent = score(batch, lengths[at + len(batch) - 1])
+                got, why, spent = score(batch, lengths[at + len(batch) - 1])
                 replies += got
+                errors += why
                 budgets += spent
             return pd.DataFrame({
                 key: rows[key].to_numpy(),
                 "reply": replies,
                 "failed": [reply is None for reply in replies],
+                "error": errors,
                 "budget": budgets,
             })
 

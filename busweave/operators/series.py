@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from busweave import constants as K
 from busweave.functions.text import log_timestamp
 from busweave.operators.lookup import first_match_per_key
 from busweave.operators.ordered import carry_forward, with_neighbours
-from busweave.operators.windowing import filter_time_window
+from busweave.operators.windowing import filter_time_window, time_chunk
+
+SLOT_SECONDS = 600
 
 
 def all_points(
@@ -52,6 +54,12 @@ def rows_by_signal(decoded: DataFrame) -> DataFrame:
     return decoded.filter(F.coalesce("query_signal", F.lit("")) != "")
 
 
+def _slot(rows: DataFrame, time: str, seconds: int | None) -> Column | None:
+    """Time slots as chunks, if the order begins with a time."""
+    timed = isinstance(rows.schema[time].dataType, (T.TimestampNTZType, T.TimestampType))
+    return time_chunk(F.col(time).cast("timestamp_ntz"), seconds) if seconds and timed else None
+
+
 def _differs(value: str):
     return lambda before: before.isNull() | ~F.col(value).eqNullSafe(before[value])
 
@@ -61,11 +69,17 @@ def change_points(
     keys: Sequence[str] = ("query_signal",),
     order: Sequence[str] = ("ts", "line_no"),
     value: str = "value",
+    slot_seconds: int | None = SLOT_SECONDS,
 ) -> DataFrame:
-    """First point of each signal and every point that differs from the one before."""
+    """First point of each signal and every point that differs from the one before.
+
+    Points of one time slot and signal meet in one task; without slots, or if
+    ``order`` does not begin with a time, they are spread by range.
+    """
     differs = _differs(value)
     marked = with_neighbours(
-        points, keys, order, [value], keep=lambda before, _: differs(before)
+        points, keys, order, [value], keep=lambda before, _: differs(before),
+        chunk=_slot(points, order[0], slot_seconds),
     )
     return marked.drop("_previous", "_following")
 
@@ -76,6 +90,7 @@ def step_intervals(
     order: Sequence[str] = ("ts", "line_no"),
     value: str = "value",
     time: str = "ts",
+    slot_seconds: int | None = SLOT_SECONDS,
 ) -> DataFrame:
     """``until``: a change point holds to the next, the last to the last sample.
 
@@ -86,11 +101,12 @@ def step_intervals(
     marked = with_neighbours(
         points, keys, order, [value],
         keep=lambda before, after: differs(before) | after.isNull(),
+        chunk=_slot(points, order[0], slot_seconds),
     )
     steps = marked.withColumn("_step", differs(F.col("_previous"))).drop(
         "_previous", "_following"
     )
-    held = with_neighbours(steps, keys, order, [time])
+    held = with_neighbours(steps, keys, order, [time], chunk=_slot(steps, order[0], slot_seconds))
     return (
         held.filter("_step")
         .withColumn("until", F.coalesce(F.col("_following")[time], F.col(time)))
@@ -99,7 +115,8 @@ def step_intervals(
 
 
 def asof_signal_value(
-    points: DataFrame, probes: DataFrame, key: str = "query_signal"
+    points: DataFrame, probes: DataFrame, key: str = "query_signal",
+    slot_seconds: int | None = SLOT_SECONDS,
 ) -> DataFrame:
     """Value in force at each probe(probe_id, key, ts): last point not after it.
 
@@ -121,7 +138,7 @@ def asof_signal_value(
     )
     carried = carry_forward(
         merged, [key], ["ts", "_is_probe", "line_no", "probe_id"], "_point", "_in_force",
-        wanted=F.col("_is_probe") == 1,
+        wanted=F.col("_is_probe") == 1, chunk=_slot(merged, "ts", slot_seconds),
     )
     return carried.select(
         "probe_id", key, "ts", F.col("_in_force.value").alias("value")

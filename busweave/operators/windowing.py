@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from busweave import constants as K
 
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
 
 def _interval(seconds: float) -> Column:
     return F.make_dt_interval(secs=F.lit(Decimal(str(seconds))))
@@ -19,6 +21,22 @@ def _tick(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", origin, ts)
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds of a time without zone since 1970, whatever the session's zone."""
+    at = F.col(ts) if isinstance(ts, str) else ts
+    minutes = F.unix_date(F.to_date(at)).cast("bigint") * 1440 + F.hour(at) * 60 + F.minute(at)
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), at) * 1_000_000).cast("bigint")
+
+
+def from_micros(column: str) -> Column:
+    return F.expr(f"timestampadd(MICROSECOND, {column}, {_EPOCH})")
+
+
+def time_chunk(ts: Column | str, seconds: int = 600) -> Column:
+    """Number of the time slot of a row, for the ``chunk`` of order-dependent steps."""
+    return F.floor(micros(ts) / (seconds * 1_000_000))
+
+
 def filter_time_window(
     lines: DataFrame, target: Column, seconds: float = K.WINDOW_SECONDS
 ) -> DataFrame:

@@ -708,7 +708,7 @@ SELECT line_no, CAST(n AS INTEGER) AS bytes, array_to_string(b, ',') AS tokens F
 SELECT line_no, sig_no, CASE
   WHEN upper(b[1] || b[2]) <> replace(upper(msgid), ' ', '') THEN 'id_mismatch'
   WHEN b[3] <> '01' THEN 'status_not_ok' WHEN 3 + start_byte >= n THEN 'short_start'
-  WHEN length < 1 OR length > 64 THEN 'bad_length'
+  WHEN length < 1 THEN 'bad_length'
   WHEN (3 + start_byte) * 8 + 7 - start_bit + length > n * 8 THEN 'short_bits'
   ELSE 'ok' END AS status
 FROM frames JOIN definitions ON sig_no = (line_no // 3) % 6""",

@@ -829,31 +829,26 @@ def normalise_unit(spark, sf_dir):
 # --- user operators, whole analyses -----------------------------------------
 
 def _pattern_scorer():
-    """Factory of a deterministic test scorer, which reads the fields with a pattern.
+    """Factory of a deterministic test scorer, which takes a line apart at its marks.
 
     The factory is nested, so that it reaches the workers by value.
     """
 
     def make():
         import json
-        import re
-
-        # Fixed value: the two message forms of constants.py as one pattern.
-        shape = re.compile(
-            r"(\d\d-\d\d [\d:.]+).*(RX|TX) Message .*?service:(\w+) ?,method:(\w+),"
-            r"(?: response )?payload: ?([0-9a-f ]+)$",
-            re.IGNORECASE | re.MULTILINE,
-        )
 
         def answer(prompt):
-            found = shape.search(prompt)
-            if found is None:
+            line = next((text for text in prompt.splitlines() if " Message " in text), "")
+            head, mark, payload = line.lower().rpartition("payload:")
+            if not mark:
                 return '{"type": "ignore"}'
-            base = 16 if found[2] == "RX" else 10
+            service, _, rest = head.rpartition("service:")[2].partition(",method:")
+            received = " rx message" in head
+            base = 16 if received else 10
             return json.dumps({
-                "time": found[1], "type": found[2].lower(),
-                "serviceId": int(found[3], base), "methodId": int(found[4], base),
-                "payload": found[5].strip().lower(),
+                "time": " ".join(line.split()[:2]), "type": "rx" if received else "tx",
+                "serviceId": int(service.strip(), base), "methodId": int(rest.split(",")[0], base),
+                "payload": payload.strip(),
             })
 
         return lambda prompts, budget: [answer(p) for p in prompts]

@@ -71,7 +71,8 @@ def reason(spark, payload, msgid="0197", start_byte=0, start_bit=7, length=12):
     ("01 97 01 12 zz", {}, "bad_byte"),
     ("01 97 01 12 34 zz", {}, "ok"),
     ("01 97 01 12 34", {"length": 0}, "bad_length"),
-    ("01 97 01 12 34", {"length": 65}, "bad_length"),
+    ("01 97 01 12 34", {"length": 65}, "short_bits"),
+    ("01 97 01 11 22 33 44 55 66 77 88 99", {"length": 65}, "ok"),
     ("01 97 01 12 34", {"msgid": "01 97"}, "ok"),
     ("01 97 01 12 34", {"msgid": None}, "id_mismatch"),
     (" 01  97 01 12 34 ", {}, "ok"),
@@ -143,3 +144,27 @@ def test_plot_positions(spark):
         B.sorted_choice_keys(F.create_map(F.lit("10"), F.lit("x"), F.lit("9"), F.lit("y"))).alias("f"),
     ).first()
     assert tuple(row) == (1, 0, 0.5, 1.0, 0.0, [9, 10])
+
+
+def test_digits_of_any_length(spark):
+    rng = random.Random(11)
+    sizes = [1, 29, 30, 58, 63, 64, 65, 87, 126, 127, 128, 200, 481]
+    bits = [(i, "".join(rng.choice("01") for _ in range(n))) for i, n in enumerate(sizes * 3)]
+    bits += [(100, "0" * 90), (101, "1" * 256), (102, "0" * 70 + "1" * 70), (103, "1" + "0" * 99)]
+    got = spark.createDataFrame(bits, "i int, b string").select("i", B.bits_to_digits(F.col("b")).alias("d")).collect()
+    assert {r["i"]: r["d"] for r in got} == {i: str(int(b, 2)) for i, b in bits}
+
+
+def test_label_of_a_long_value(spark):
+    from busweave.operators.decoding import decode_frames, with_frame
+
+    value = (1 << 79) + 12345
+    payload = "01 97 01 " + " ".join(f"{b:02x}" for b in value.to_bytes(10, "big"))
+    rows = spark.createDataFrame([(payload,)], "payload string")
+    pairs = with_frame(rows).selectExpr(
+        "*", "'0197' AS msgid", "0 AS start_byte", "7 AS start_bit", "80 AS length", f"map('{value}', 'far') AS choices",
+        "null AS minimum", "null AS maximum", "null AS offset", "null AS factor",
+    )
+    row = decode_frames(pairs).first()
+    assert (row["signal_digits"], row["match_label"], row["signal_value"]) == (str(value), "far", None)
+    assert row["match_value"] == float(value) and row["match_status"] == "matched"

@@ -76,4 +76,4 @@ def test_wrong_number_of_replies_fails_the_batch(spark):
     lines = spark.createDataFrame([(i, "line") for i in range(4)], "line_no long, value string")
     for extra in (-1, 1):
         rows = score_in_batches(lines, lambda: lambda prompts, _: ["x"] * (len(prompts) + extra)).collect()
-        assert all(r.failed and r.reply is None for r in rows)
+        assert all(r.failed and r.reply is None and r.error == f"{4 + extra} replies to 4 prompts" for r in rows)

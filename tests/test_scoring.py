@@ -63,9 +63,9 @@ def test_failed_batch_stays_alone(spark):
     rows = [(i, "x" * (300 + i // 8)) for i in range(40)] + [(99, "poison" + "y" * 400)]
     lines = spark.createDataFrame(rows, "line_no bigint, value string").coalesce(1)
     got = {r["line_no"]: r for r in SCO.score_in_batches(lines, make_picky).collect()}
-    assert len(got) == 41 and got[99]["failed"]
+    assert len(got) == 41 and got[99]["failed"] and got[99]["error"] == "RuntimeError: no answer"
     good = [r for r in got.values() if not r["failed"]]
-    assert len(good) >= 33
+    assert len(good) >= 33 and all(r["error"] is None for r in good)
     assert all(json.loads(r["reply"])["n"] <= K.BATCH_LINES for r in good)
     assert all(json.loads(r["reply"])["budget"] == r["budget"] for r in good)
 
