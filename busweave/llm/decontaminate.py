@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from busweave.llm.candidates import possible, without
 from busweave.operators.computed import with_computed
 from busweave.session import settle
 
@@ -33,6 +34,8 @@ LEAST_LITERALS = 4
 LEAST_SHARE = 0.3
 LEAST_RUN = 5
 BROADCAST_WINDOWS = 500_000
+#: Begin words of the benchmark's windows that are tested before hashing; beyond, every window is hashed.
+MOST_FIRST = 50_000
 
 _STEPS = (12, 16, 24, 32, 48, 64, 96, 128)
 
@@ -46,14 +49,18 @@ UNITS = (
     "degree|degrees|percent|dollar|dollars|euro|euros|cent|cents|usd|eur|gbp|kb|mb|gb|tb|°c|°f|%|€|\\$|£"
 )
 
-_PUNCTUATION = r"[!-#&-/:-@\[-`{-~]+"
-_SPACES = r"[\x09-\x0D]+\x20*|\x20[\x20\x09-\x0D]+"
-_SPACE = r"[\x20\x09-\x0D]+"
+# Classes of single characters: ranges cost a call each, and these patterns read every text.
+_PUNCTUATION = r"""[!"#&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
+_SPACES = r"[\t\n\x0B\f\r]+\x20*|\x20[\x20\t\n\x0B\f\r]+"
+_SPACE = r"[\x20\t\n\x0B\f\r]+"
 _NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;]\x20.)\p{Ll}+(?=[\s\p{Punct}]|$)"
 _CAPITALISED = r"(?<![^\s\p{Punct}])\p{Lu}\p{Ll}+(?=[\s\p{Punct}]|$)"
 _NUMBER = r"(?<![^\x20])[$€£]?\p{N}+(%|€|\$|£|st|nd|rd|th)?(?![^\x20])"
 _MEASURE = rf"(?<![^\x20])\p{{N}}+(?i:{UNITS})(?![^\x20])"
 _UNIT = rf"(?<={NUMBER} )(?i:{UNITS})(?![^\x20])"
+# Marks around capitalised words; like the placeholders' mark they occur in no word.
+_OPEN, _CLOSE = "\u2420", "\u2421"
+_MARKED_UNIT = rf"(?<={NUMBER} )({_OPEN}?)(?i:{UNITS})({_CLOSE}?)(?![^\x20])"
 
 
 def _words(text: Column) -> Column:
@@ -61,16 +68,55 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(F.trim(F.regexp_replace(text, _PUNCTUATION, ""))), _SPACE, -1)
 
 
-def _has_slots(text: Column, name: str = _NAME) -> Column:
-    return text.rlike(r"\p{N}|" + name)
+def _squeezed(text: Column) -> Column:
+    return F.regexp_replace(text, _SPACES, " ")
 
 
 def _typed_words(text: Column, name: str = _NAME) -> Column:
     """The same words with placeholders for numbers, units and names."""
-    named = F.regexp_replace(F.regexp_replace(text, _SPACES, " "), name, NAME)
-    bare = F.regexp_replace(F.trim(F.regexp_replace(named, _PUNCTUATION, "")), _SPACES, " ")
-    typed = F.regexp_replace(F.regexp_replace(bare, _MEASURE, NUMBER + UNIT), _NUMBER, NUMBER)
-    return F.split(F.lower(F.regexp_replace(typed, _UNIT, UNIT)), _SPACE, -1)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(_squeezed(text), name, NAME), _PUNCTUATION, ""))
+    typed = F.regexp_replace(F.regexp_replace(bare, _SPACES, " "), _MEASURE, NUMBER + UNIT)
+    typed = F.regexp_replace(F.regexp_replace(typed, _NUMBER, NUMBER), _UNIT, UNIT)
+    return F.split(F.lower(typed), _SPACE, -1)
+
+
+def _forms(raw: DataFrame) -> DataFrame:
+    """(doc_id, tk, form, words): every form of every text, each text read once.
+
+    The typed and the bold form differ in capitalised words that are no names by
+    their place.  These get marks around them, so that all patterns run once for
+    both forms; in the end the typed form drops the marks, and the bold form what
+    is between them.  Each step is a layer of its own, so that no pattern runs
+    twice.  Forms without a placeholder match no template and are left out.
+    """
+    keep = ["doc_id", "tk"]
+    body = F.coalesce(F.col("body"), F.lit(""))
+    rows = with_computed(raw, {"__plain": _words(body), "__squeezed": _squeezed(body)}, keep=keep)
+    keep = [*keep, "__plain"]
+    named = F.regexp_replace(F.col("__squeezed"), _NAME, NAME)
+    marked = F.regexp_replace(named, _CAPITALISED, f"{_OPEN}$0{_CLOSE}")
+    rows = with_computed(rows, {"__t": F.trim(F.regexp_replace(marked, _PUNCTUATION, ""))}, keep=keep)
+    text = F.col("__t")
+    rows = with_computed(
+        rows, {"__t": F.when(text.contains("  "), F.regexp_replace(text, _SPACES, " ")).otherwise(text)}, keep=keep
+    )
+    numbered = F.regexp_replace(F.regexp_replace(text, _MEASURE, NUMBER + UNIT), _NUMBER, NUMBER)
+    numbered = F.regexp_replace(numbered, _MARKED_UNIT, f"$1{UNIT}$2")
+    has_numbers = text.rlike(r"\p{N}") | text.contains(NUMBER)
+    rows = with_computed(rows, {"__t": F.lower(F.when(has_numbers, numbered).otherwise(text))}, keep=keep)
+    typed = F.replace(F.replace(text, F.lit(_OPEN), F.lit("")), F.lit(_CLOSE), F.lit(""))
+    bold = F.regexp_replace(text, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", NAME)
+    placed = text.contains(MARK)
+    rows = with_computed(
+        rows,
+        {"__typed": F.when(placed, F.split(typed, _SPACE, -1)),
+         "__bold": F.when(placed | text.contains(_OPEN), F.split(bold, _SPACE, -1))},
+        keep=keep,
+    )
+    form = lambda name: F.struct(F.lit(name).alias("form"), F.col(f"__{name}").alias("words"))
+    return rows.select("doc_id", "tk", F.inline(F.array(form("plain"), form("typed"), form("bold")))).filter(
+        "words IS NOT NULL"
+    )
 
 
 def _hash(places: list[Column], window: Column) -> Column:
@@ -78,16 +124,37 @@ def _hash(places: list[Column], window: Column) -> Column:
     return F.xxhash64(*places) if len(places) <= 2 * WIDTH else F.xxhash64(window)
 
 
-def _windows(table: DataFrame, keep: list[str], words: str, width: int) -> DataFrame:
-    """(keep, at, hash): one row per window of ``width`` words.
+def _hash_of(words: str, at: Column, size: Column, sizes: list[int]) -> Column:
+    """Hash of the window of ``size`` words at ``at``."""
+    found = F.lit(None).cast("long")
+    for n in sizes:
+        places = [F.get(F.col(words), at + j) for j in range(n)]
+        found = F.when(size == n, _hash(places, F.slice(words, at + 1, n))).otherwise(found)
+    return found
+
+
+def _windows(forms: DataFrame, sizes: dict[str, list[int]], first: dict[tuple[str, int], list[str]] | None) -> DataFrame:
+    """(doc_id, tk, form, size, at, hash): one row per window that may match.
 
-    Plain column expressions over the exploded positions, so that the words stay
-    where they are and explode, hash and join run in one generated loop.
+    ``first`` are the words that begin the benchmark's windows of a form and size;
+    a window that begins with another one cannot match.  Plain column expressions
+    over the exploded positions, so that the words stay where they are and
+    explode, hash and join run in one generated loop.
     """
-    rows = table.select(*keep, words, F.posexplode(words).alias("at", "__word"))
-    rows = rows.filter(F.col("at") <= F.size(words) - width)
-    places = [F.get(F.col(words), F.col("at") + j) for j in range(width)]
-    return rows.select(*keep, "at", _hash(places, F.slice(words, F.col("at") + 1, width)).alias("hash"))
+    word = F.col("__word")
+    rows = forms.select("doc_id", "tk", "form", "words", F.posexplode("words").alias("at", "__word"))
+    if first is not None:
+        rows = rows.filter(word.isin(sorted({w for some in first.values() for w in some})))
+    wide = F.lit(None).cast("array<int>")
+    for form, some in sizes.items():
+        begun = lambda n: F.lit(n) if first is None else F.when(word.isin(first[form, n]), F.lit(n))  # noqa: B023, E731
+        wide = F.when(F.col("form") == form, F.array(*[begun(n) for n in some])).otherwise(wide)
+    rows = rows.select("doc_id", "tk", "form", "words", "at", F.explode(wide).alias("size"))
+    rows = rows.filter(F.col("at") <= F.size("words") - F.col("size"))
+    every = sorted({n for some in sizes.values() for n in some})
+    return rows.select(
+        "doc_id", "tk", "form", "size", "at", _hash_of("words", F.col("at"), F.col("size"), every).alias("hash")
+    )
 
 
 def _template_windows(items: DataFrame, words: str, least: int) -> DataFrame:
@@ -145,41 +212,42 @@ def contaminated_texts(
     items = items.withColumn("size", F.least("n_words", F.lit(width)))
     items = settle(items.withColumn("n_item_windows", F.col("n_words") - F.col("size") + 1), "benchmark-items")
     raw = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body")).withColumn("tk", F.xxhash64("body"))
-    plain = with_computed(raw, {"plain": _words(body)}, keep=["doc_id", "tk"])
-    typed = with_computed(raw, {"typed": _typed_words(body)}, where=_has_slots(body), keep=["doc_id", "tk"])
-    bold = with_computed(
-        raw, {"bold": _typed_words(body, _CAPITALISED)}, where=_has_slots(body, _CAPITALISED), keep=["doc_id", "tk"]
-    )
     whole = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.col("n_words") - F.col("size"))))
     whole = whole.select(
         "item_id", "n_item_windows", "item_at", F.col("item_at").alias("start"), "size",
         F.slice("plain", F.col("item_at") + 1, F.col("size")).alias("item_plain"),
         F.slice("typed", F.col("item_at") + 1, F.col("size")).alias("item_typed"),
     )
-    sides = []
-    for source, words in ((plain, "plain"), (typed, "typed"), (bold, "bold")):
-        wanted = whole if words == "plain" else _template_windows(items, words, least_literals)
+    wanted = whole.withColumn("form", F.lit("plain"))
+    for words in ("typed", "bold"):
+        grown = _template_windows(items, words, least_literals)
         if words == "bold":
-            wanted = wanted.filter("item_typed <> narrow")
-        wanted = wanted.drop("narrow").withColumn("form", F.lit(words))
-        every = settle(wanted, "benchmark-windows")
-        for size in [r.size for r in every.select("size").distinct().orderBy("size").collect()]:
-            part = F.col("item_plain" if words == "plain" else "item_typed")
-            own = every.filter(F.col("size") == size)
-            own = settle(own.withColumn("wanted", _hash([F.get(part, F.lit(j)) for j in range(size)], part)), "benchmark-size")
-            if own.count() <= broadcast_windows:
-                own = F.broadcast(own)
-            found = _windows(source, ["doc_id", "tk"], words, size).join(own, F.col("hash") == F.col("wanted"))
-            sides.append(found.drop("hash", "wanted").withColumnsRenamed({"doc_id": "__id", "tk": "__tk"}))
-    if not sides:
+            grown = grown.filter("item_typed <> narrow")
+        wanted = wanted.unionByName(grown.drop("narrow").withColumn("form", F.lit(words)))
+    part = F.when(F.col("form") == "plain", F.col("item_plain")).otherwise(F.col("item_typed"))
+    own = settle(wanted.withColumn("__part", part), "benchmark-windows")
+    sizes: dict[str, list[int]] = {}
+    for r in own.select("form", "size").distinct().orderBy("form", "size").collect():
+        sizes.setdefault(r.form, []).append(r.size)
+    if not sizes:
         return docs.sparkSession.createDataFrame(
             [], f"doc_id {docs.schema[key].dataType.simpleString()}, tk long, "
             f"item_id {benchmark.schema[item].dataType.simpleString()}, "
             "offset int, n_matched long, n_item_windows int, n_slots long, changed boolean",
         )
-    hits = sides[0]
-    for more in sides[1:]:
-        hits = hits.unionByName(more)
+    every = sorted({n for some in sizes.values() for n in some})
+    wanted_hash = _hash_of("__part", F.lit(0), F.col("size"), every).alias("wanted")
+    starts = own.select("form", "size", F.get("__part", F.lit(0)).alias("word")).distinct()
+    begun = starts.limit(MOST_FIRST + 1).collect()
+    first = {(form, n): [r.word for r in begun if (r.form, r["size"]) == (form, n)] for form, some in sizes.items() for n in some}
+    own = settle(own.select(*[c for c in own.columns if c != "__part"], wanted_hash), "benchmark-hashes")
+    count = own.count()
+    own = own.withColumnsRenamed({"form": "__form", "size": "__size"})
+    if count <= broadcast_windows:
+        own = F.broadcast(own)
+    found = _windows(_forms(raw), sizes, first if len(begun) <= MOST_FIRST else None)
+    same = (F.col("hash") == F.col("wanted")) & (F.col("form") == F.col("__form")) & (F.col("size") == F.col("__size"))
+    hits = found.join(own, same).drop("hash", "wanted", "__form", "__size").withColumnsRenamed({"doc_id": "__id", "tk": "__tk"})
     return _consistent(_with_words(raw, settle(hits, "benchmark-hits")), least_literals, least_share, least_run)
 
 
@@ -187,7 +255,7 @@ def _with_words(raw: DataFrame, hits: DataFrame) -> DataFrame:
     """The document's words beside each hit; a document's words are read once."""
     fields = [c for c in hits.columns if c not in ("__id", "__tk")]
     per_doc = hits.groupBy("__id", "__tk").agg(F.collect_set(F.struct(*fields)).alias("__hits"))
-    joined = raw.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("tk").eqNullSafe(F.col("__tk")))
+    joined = possible(raw, F.col("tk"), hits, "__tk").join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("tk").eqNullSafe(F.col("__tk")))
     body = F.coalesce(F.col("body"), F.lit(""))
     rows = with_computed(joined, {"__plain": _words(body), "__typed": _typed_words(body), "__bold": _typed_words(body, _CAPITALISED)}, keep=["doc_id", "tk", "__hits"])
     full = F.transform(
@@ -264,7 +332,7 @@ def drop_contaminated(
     found = contaminated_texts(docs, benchmark, text=text, key=key, **options)
     found = settle(found.select(F.col("doc_id").alias("__hit"), F.col("tk").alias("__tk")).distinct(), "contaminated")
     same = F.col(key).eqNullSafe(F.col("__hit")) & (F.xxhash64(text) == F.col("__tk"))
-    return docs.join(found, same, "left_anti")
+    return without(docs, F.xxhash64(text), found, "__tk", same)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
