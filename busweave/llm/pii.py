@@ -7,9 +7,9 @@ the same pseudonym in every document, different values stay different, and a
 pseudonym passes the same check.  Nothing is shared between tasks but the key.
 
 Defined results: null stays null, empty stays empty; equal rows give equal rows;
-an empty table gives no rows; other columns, extra ones included, pass through.
-A permutation over a small format may map a value to itself; such a value is
-permuted under the next tweak, which depends on its format only.
+an empty table gives no rows; other columns pass through, but for those named
+like a count (``n_<kind>``), which it replaces.  A permutation may map a value of a
+small format to itself, as any one-to-one mapping may.
 """
 
 from __future__ import annotations
@@ -117,13 +117,30 @@ def _card(f: Feistel, match) -> str | None:
     return _fill(match[0], [*body, _luhn(body)])
 
 
-def _iban(f: Feistel, match) -> str | None:
+def _mod97(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def _iban_valid(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and _mod97(plain[4:] + plain[:4]) == 1
+
+
+def _ibans(pattern: re.Pattern, text: str):
+    """Valid numbers; the pattern may run on into capitals behind one, so shorter ends count too."""
+    at = 0
+    while found := pattern.search(text, at):
+        ends = [found.end(), *(found.start() + m.start() for m in reversed([*re.finditer(" ", found[0])]))]
+        end = next((e for e in ends if _iban_valid(text[found.start() : e])), None)
+        if end:
+            yield re.compile(r"[A-Z0-9 ]+").fullmatch(text, found.start(), end)
+        at = end or found.start() + 1
+
+
+def _iban(f: Feistel, match) -> str:
     plain = match[0].replace(" ", "")
-    rest = lambda s: int("".join(str(int(c, 36)) for c in s)) % 97
-    if not 15 <= len(plain) <= 34 or rest(plain[4:] + plain[:4]) != 1:
-        return None
     body = f.classes(plain[4:], f"iban{plain[:2]}")
-    new = iter(f"{plain[:2]}{98 - rest(body + plain[:2] + '00'):02d}{body}")
+    new = iter(f"{plain[:2]}{98 - _mod97(body + plain[:2] + '00'):02d}{body}")
     return "".join(c if c == " " else next(new) for c in match[0])
 
 
@@ -193,7 +210,7 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, dict[str, int]]:
         return text, {}
     taken, counts = [], {}
     for kind, pattern in _SCAN:
-        for match in pattern.finditer(text):
+        for match in _ibans(pattern, text) if kind == "iban" else pattern.finditer(text):
             new = _REPLACE[kind](f, match)
             if new is not None:
                 taken.append((match.start(), match.end(), new, kind))

@@ -38,6 +38,21 @@ def test_invalid_values_stay():
     assert one(text) == (text, {})
 
 
+def test_ibans_before_other_capitals():
+    spanish, belgian = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034"
+    for text, n in ((f"{spanish} CODE", 1), (f"{belgian} NOW", 1), (f"{spanish} {belgian} {spanish}", 3), (f"{belgian}\n{belgian}", 2), ("ES92 2100 0418 4502 0005 1332 CODE", 0)):
+        new, counts = one(text)
+        assert counts == ({"iban": n} if n else {}) and len(new) == len(text)
+        if n:
+            assert spanish not in new and belgian not in new
+            assert new.endswith(text[len(text.rstrip("CODENW")) :])
+            assert one(new)[1] == counts
+        else:
+            assert new == text
+    pair = one(f"{spanish} {belgian} {spanish}")[0]
+    assert pair[: len(spanish)] == pair[-len(spanish) :]
+
+
 def test_table(spark):
     rows = [(1, "x a.b@c.org y", 5), (1, "x a.b@c.org y", 5), (2, None, 1), (None, "", 1), (3, "w " * 400_000 + "9.9.9.9", 1), (4, "z a.b@c.org", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_email int")
