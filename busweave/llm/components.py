@@ -11,8 +11,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link neighbours of u to the least of u and its neighbours.
 
     ``large``: only neighbours above u, seen from both ends; otherwise each edge
-    belongs to its larger end.  Minima are partial aggregates and the join back
-    is one that Spark can split, so a hub of any degree is spread over tasks.
+    belongs to its larger end.  Minima are partial aggregates.  They are written
+    before the join back: Spark then broadcasts them if they are small, or else
+    joins two plain shuffles, which it can split, so that a hub of any degree is
+    spread over tasks.
     """
     if large:
         sided = edges.union(edges.select("v", "u"))
@@ -21,6 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = sided.groupBy("u").agg(F.min("v").alias("m")).select(
         F.col("u").alias("hub"), F.least("u", "m").alias("m")
     )
+    least = settle(least, "hubs")
     joined = sided.join(least, F.col("u") == F.col("hub"))
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

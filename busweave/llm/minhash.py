@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from busweave.llm.candidates import possible, without
 from busweave.llm.components import components
 from busweave.llm.words import mix, slices, windows, words_of
 from busweave.session import settle
@@ -273,7 +274,8 @@ def _links(base, classes, groups, width, percent, block_shingles) -> DataFrame:
         F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
     )
     planned = settle(planned, "minhash-plan")
-    sets = base.join(planned, F.col("doc_id") == F.col("node")).select(
+    texts = possible(base, F.col("doc_id"), planned, "node")
+    sets = texts.join(planned, F.col("doc_id") == F.col("node")).select(
         "cell", "doc_id", "block", "blocks", "text"
     ).mapInArrow(
         _set_rows(width), "cell long, doc_id long, block int, blocks int, shingles array<long>"
@@ -314,9 +316,9 @@ def first_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", **optio
     gone = gone.filter("node <> __head").select("node")
     many = head.filter("copies > 1").select(F.col("node").alias("__many"))
     once = settle(gone.union(many).select(F.col("node").alias("__extra")), "minhash-extra")
-    kept = docs.join(once, node == F.col("__extra"), "left_anti")
+    kept = without(docs, node, once, "__extra", node == F.col("__extra"))
     least = Window.partitionBy(node).orderBy(F.xxhash64(*docs.columns))
-    repeated = docs.join(many, node == F.col("__many"), "left_semi").withColumn("__place", F.row_number().over(least))
+    repeated = possible(docs, node, many, "__many").join(many, node == F.col("__many"), "left_semi").withColumn("__place", F.row_number().over(least))
     return kept.unionByName(repeated.filter("__place = 1").drop("__place"))
 
 
@@ -328,7 +330,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", **options) -> DataFram
     """
     extra = duplicate_components(docs, key=key, **options).filter("NOT kept")
     ids = settle(extra.select(F.col("doc_id").alias("__extra")).distinct(), "minhash-extra")
-    return docs.join(ids, F.col(key).cast("long") == F.col("__extra"), "left_anti")
+    place = F.col(key).cast("long")
+    return without(docs, place, ids, "__extra", place == F.col("__extra"))
 
 
 def op10_circulant_minhash(spark, sf_dir: str) -> DataFrame:
