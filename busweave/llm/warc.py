@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import uuid
 import zlib
 
@@ -30,6 +29,7 @@ from busweave.session import scratch_path, settle
 
 RANGE_BYTES = 16 << 20
 FILE_BYTES = 256 << 20
+MOST_TASKS = 50_000
 
 # Fixed values of the formats.
 _MAGIC = b"\x1f\x8b\x08"
@@ -231,7 +231,9 @@ def read_archives(files: DataFrame, root: str, range_bytes: int = RANGE_BYTES) -
     low = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long")))
     ranges = files.filter("bytes > 0").select("path", low.alias("low"))
     ranges = ranges.select("path", "low", (F.col("low") + range_bytes).alias("high"))
-    return ranges.repartition("path", "low").mapInArrow(_read(root), RECORD)
+    # the table of ranges is small, but each stands for much reading: one task for every few
+    tasks = min(max(ranges.count(), 1), MOST_TASKS)
+    return ranges.repartition(tasks).mapInArrow(_read(root), RECORD)
 
 
 def without_nested(records: DataFrame) -> DataFrame:
@@ -245,11 +247,19 @@ def without_nested(records: DataFrame) -> DataFrame:
     ).drop("__reach")
 
 
+def _qualified(spark, root: str) -> str:
+    """The path with its file system, the cluster's default one if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = files.makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     root = scratch_path(spark, "warc")
-    root = root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
+    root = _qualified(spark, root)
     records = read_archives(write_archives(pages, root), root).drop("payload")
     return without_nested(records).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"

@@ -7,6 +7,7 @@ import random
 
 import pytest
 from busweave.llm import warc
+from pyspark.sql import functions as F
 
 
 def pages(spark):
@@ -59,3 +60,25 @@ def test_empty_table(spark, tmp_path):
     table = spark.createDataFrame([], "page_id long, url string, html string")
     root = f"file://{tmp_path}/w"
     assert warc.read_archives(warc.write_archives(table, root), root).count() == 0
+
+
+def test_reading_spreads_over_tasks(spark, tmp_path):
+    _, table = pages(spark)
+    root = f"file://{tmp_path}/w"
+    files = warc.write_archives(table, root, file_bytes=20_000)
+    records = warc.read_archives(files, root, range_bytes=2000)
+    tasks = records.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 8
+
+
+def test_paths_without_a_scheme_belong_to_the_default_file_system(spark):
+    assert warc._qualified(spark, "/some/folder") == "file:///some/folder"
+    assert warc._qualified(spark, "file:/some/folder") == "file:///some/folder"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store")
+    conf.set("fs.viewfs.mounttable.store.link./in", "file:///tmp")
+    try:
+        assert warc._qualified(spark, "/in/folder") == "viewfs://store/in/folder"
+    finally:
+        conf.set("fs.defaultFS", before)
