@@ -24,7 +24,7 @@ from busweave.operators import (  # noqa: E402
 )
 from busweave.operators.messages import extract_messages  # noqa: E402
 from busweave.plans import analysis, scoring as scoring_plan  # noqa: E402
-from busweave.sources import logs, records, sheets, sinks  # noqa: E402
+from busweave.sources import ingest as growing, logs, records, sheets, sinks  # noqa: E402
 
 
 def _target(text: str, year: int):
@@ -150,6 +150,12 @@ def training_set(spark, args) -> None:
         sinks.write_json_records(audit, f"{args.out}/audit-{name}")
 
 
+def ingest(spark, args) -> None:
+    """New lines of a growing log folder to messages, appended to a table as one batch."""
+    batch = growing.ingest(spark, args.folder, args.out, most_bytes=args.most_bytes)
+    print(f"batch {batch}" if batch else "nothing new")
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="busweave")
     jobs = parser.add_subparsers(required=True)
@@ -170,6 +176,7 @@ def _parser() -> argparse.ArgumentParser:
     job(dictionary, "messages", "signals")
     job(score_accuracy, "log", "found").add_argument("--json-lines", action="store_true")
     job(score_log, "log", "scorer")
+    job(ingest, "folder").add_argument("--most-bytes", type=int, help="of each file in one run")
     one = job(training_set, "log")
     one.add_argument("--seed", type=int, default=42)
     one.add_argument("--quotas", action="store_true")

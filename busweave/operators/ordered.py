@@ -21,6 +21,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from busweave.session import settle
+
 _CHUNK, _GROUP, _HEAD, _TAIL = "_chunk", "_group", "_head", "_tail"
 _HELPERS = (_CHUNK, _GROUP, _HEAD, _TAIL)
 _BORDER = -1
@@ -158,24 +160,20 @@ def running_sum(
 
 
 def global_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Add ``name``: zero-based place of each row in the order of the whole table."""
-    inside = _inside((), order)
-    backwards = Window.partitionBy(_CHUNK).orderBy(*(F.desc(c) for c in order))
-    earlier = _borders((), order).rowsBetween(Window.unboundedPreceding, -1)
+    """Add ``name``: zero-based place of each row in the order of the whole table.
 
-    local = _chunked(df, (), order).withColumns(
-        {
-            "_rank": F.row_number().over(inside),
-            _TAIL: F.lead(F.lit(True)).over(inside).isNull(),
-        }
-    )
-    shared = _with_group(local, F.col(_TAIL)).withColumn(
-        "_before", F.sum(F.when(F.col(_TAIL), F.col("_rank"))).over(earlier)
-    )
-    # The tail of a chunk comes first backwards and hands its offset to the rest.
-    offset = F.first(F.when(F.col(_TAIL), F.coalesce("_before", F.lit(0)))).over(
-        backwards.rowsBetween(Window.unboundedPreceding, 0)
+    Rows are sorted by range and written once, numbered within their partition;
+    one row per partition tells how many come before it.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settle(spread.withColumn("_row", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_row", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.min("_row").alias("_low"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(F.col("_part") * 0).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_low")
+    shifts = counts.select("_part", shift.alias("_shift"))
+    return (
+        rows.join(F.broadcast(shifts), part == F.col("_part"))  # one row per partition
+        .withColumn(name, (F.col("_row") + F.col("_shift")).cast("bigint"))
+        .drop("_row", "_part", "_shift")
     )
-    return shared.withColumn(
-        name, (offset + F.col("_rank") - 1).cast("bigint")
-    ).drop("_rank", "_before", *_HELPERS)

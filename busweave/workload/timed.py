@@ -1,9 +1,10 @@
-"""Queries over time: streams with keyed state, sessions, overlaps, years; rollups and comparisons."""
+"""Queries over time: streams with keyed state, sessions, overlaps, years; rollups, comparisons, document files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from busweave import schemas
 from busweave.functions.frames import payload_bytes
 from busweave.functions.text import log_timestamp
 from busweave.operators import (
@@ -11,6 +12,7 @@ from busweave.operators import (
     series as SER, sessions as SES, windowing as WIN, years as YEA,
 )
 from busweave.session import fixed_rows, scratch_path
+from busweave.sources import ingest as ING, records, sinks
 from busweave.streaming import states as STA
 from busweave.workload import bindings as D
 from busweave.workload.oracle import _compose
@@ -242,6 +244,66 @@ def daily_payload_digests(spark, sf_dir):
     )
 
 
+def _one_document_a_file(spark: SparkSession, documents: DataFrame, label: str) -> str:
+    """Each text of the column ``value`` as a file of its own."""
+    path = scratch_path(spark, label)
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query
+def scan_json_array_files(spark, sf_dir):
+    """Files that hold one array of records each, over many lines."""
+    record = F.to_json(F.struct("time", "type", "service_id", "method_id", "payload"))
+    groups = D.message_table(spark, sf_dir).groupBy(F.floor(F.col("line_no") / 500)).agg(F.collect_list(record).alias("r"))
+    text = F.concat(F.lit("[\n"), F.array_join("r", ",\n"), F.lit("\n]")).alias("value")
+    path = _one_document_a_file(spark, groups.select(text), "record-files")
+    return records.read_json_records(spark, path, schemas.PARSED_MESSAGE)
+
+
+@query
+def scan_dictionary_files(spark, sf_dir):
+    """Whole nested dictionaries, one of a hundred parts per file, with the place of each signal in its file."""
+    part = D.table(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    plain = F.to_json(F.struct(
+        F.lit("0001").alias("msgid"), F.lit(0).alias("start_byte"), F.lit(0).alias("start_bit"), F.lit(1).alias("length"),
+    ))
+    entry = F.to_json(F.struct(
+        F.lpad(F.hex("p_partkey"), 4, "0").alias("msgid"), (F.col("p_size") % 8).alias("start_byte"),
+        F.lit(7).alias("start_bit"), F.col("p_size").alias("length"), F.create_map(F.lit("1"), F.col("p_type")).alias("choices"),
+    ))
+    received = F.concat(
+        F.lit('"'), F.col("p_brand"), F.lit("_"), k, F.lit('": {"F'), k, F.lit('": {"sig_a": '), entry,
+        F.lit(', "sig_b": '), plain, F.lit("}}"),
+    )
+    sent = F.concat(F.lit('"F'), k, F.lit('": {"sig_c": '), plain, F.lit("}"))
+    parts = part.select(F.floor(F.col("p_partkey") / 100).alias("file"), F.struct("p_partkey", received.alias("rx"), sent.alias("tx")).alias("e"))
+    files = parts.groupBy("file").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    text = F.concat(
+        F.lit('{"rx": {\n'), F.array_join(F.transform("e", lambda e: e["rx"]), ",\n"), F.lit('},\n"tx": {"net": {\n'),
+        F.array_join(F.transform("e", lambda e: e["tx"]), ",\n"), F.lit("}}}"),
+    )
+    path = _one_document_a_file(spark, files.select(text.alias("value")), "dictionary-files")
+    return records.read_signal_dictionary(spark, path).select(
+        "direction", "namespace", "message", "signal", "msgid", "start_byte", "start_bit", "length",
+        F.col("choices")["1"].alias("choice_one"),
+        *[F.col(f"place.{c}").alias(f"{c}_no") for c in ("namespace", "message", "signal")],
+    )
+
+
+@query
+def ingest_growing_log(spark, sf_dir):
+    """A log folder taken in over several runs, half of its longest file at a time."""
+    folder, table = scratch_path(spark, "growing"), scratch_path(spark, "ingested")
+    lines = D.log_lines(spark, sf_dir).repartitionByRange("line_no").sortWithinPartitions("line_no")
+    sinks.write_text_lines(lines, folder)
+    longest = ING.log_files(spark, folder).agg(F.max("length")).first()[0] or 0
+    while ING.ingest(spark, folder, table, most_bytes=longest // 2 + 1):
+        pass
+    return ING.read_ingested(spark, table).select("time", "type", "service_id", "method_id", "payload")
+
+
 # --- reference SQL -----------------------------------------------------------
 
 _POINTS = """(
@@ -338,6 +400,15 @@ SELECT type, service_id, method_id, CAST(GROUPING_ID(type, service_id, method_id
   CAST(max(n) AS INTEGER) AS most_bytes
 FROM (SELECT *, CASE WHEN payload = '' THEN 0 ELSE len(string_split(payload, ' ')) END AS n FROM messages)
 GROUP BY ROLLUP (type, service_id, method_id)""",
+    "ingest_growing_log": "SELECT time, type, service_id, method_id, payload FROM messages",
+    "scan_json_array_files": "SELECT time, type, service_id, method_id, payload FROM messages",
+    "scan_dictionary_files": """
+WITH p AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) - 1 AS INTEGER) AS nth FROM part)
+SELECT 'rx' AS direction, p_brand || '_' || p_partkey AS namespace, 'F' || p_partkey AS message, 'sig_a' AS signal,
+  lpad(printf('%X', p_partkey), 4, '0') AS msgid, p_size % 8 AS start_byte, 7 AS start_bit, p_size AS length,
+  p_type AS choice_one, nth AS namespace_no, 0 AS message_no, 0 AS signal_no FROM p
+UNION ALL SELECT 'rx', p_brand || '_' || p_partkey, 'F' || p_partkey, 'sig_b', '0001', 0, 0, 1, NULL, nth, 0, 1 FROM p
+UNION ALL SELECT 'tx', 'net', 'F' || p_partkey, 'sig_c', '0001', 0, 0, 1, NULL, 0, nth, 0 FROM p""",
     "decode_multiplexed": f"""
 WITH d AS (SELECT * FROM (VALUES {", ".join(
     "(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in _FIELDS_OF

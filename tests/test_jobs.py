@@ -108,3 +108,15 @@ def test_quota_training_set_and_stable_split(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     read = lambda path: sorted((r.split, r.text) for r in spark.read.json(path).collect())
     assert read(f"{out}/samples") == read(f"{again}/samples")
+
+
+def test_ingest_appends_what_is_new(spark, tmp_path):
+    from busweave.sources.ingest import read_ingested
+
+    folder, out = tmp_path / "logs", f"file://{tmp_path}/table"
+    folder.mkdir()
+    for text in ("", RX.format(1, "12") + "\nopen", RX.format(1, "12") + "\nopen\n" + RX.format(2, "12") + "\n"):
+        (folder / "a.log").write_text(text)
+        jobs.main(["ingest", "--folder", str(folder), "--out", out], spark)
+    got = read_ingested(spark, out).orderBy("line_key").select("time", "batch").collect()
+    assert [(r["time"][-6:], r["batch"]) for r in got] == [("01.000", 1), ("02.000", 2)]

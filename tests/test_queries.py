@@ -5,10 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as contract
-from busweave.workload.oracle import ORACLE_SQL
-from busweave.workload.queries import QUERIES
+from busweave.workload import oracle as SQL, queries, timed
 from oracle import compare, connect
 
+QUERIES = {**queries.QUERIES, **timed.QUERIES}
+ORACLE_SQL = {**SQL.ORACLE_SQL, **timed.ORACLE_SQL}
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -39,7 +41,9 @@ def test_entry(spark):
     "extract_messages", "filter_time_window", "window_with_continuations", "match_messages",
     "decode_join", "change_points", "step_intervals", "asof_signal_value", "accuracy_report",
     "accuracy_mismatch_detail", "batch_by_length", "fill_message_rows", "quota_sample",
-    "build_signal_dictionary", "reply_counts", "analyze_properties",
+    "build_signal_dictionary", "reply_counts", "analyze_properties", "signal_sessions", "signal_silences",
+    "steps_by_session", "held_together", "assign_years", "window_over_new_year", "accuracy_rollup",
+    "payload_size_rollup", "indexed_name_search", "reconcile_messages", "decode_multiplexed",
 ])
 def test_plans_have_no_products_or_python(spark, name):
     plan = contract.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
