@@ -23,7 +23,7 @@ fields do not matter and are left out, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
