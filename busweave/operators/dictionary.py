@@ -10,6 +10,7 @@ from busweave.operators.lookup import (
     first_match_per_key,
     last_match_per_key,
     left_join_large_right,
+    merged,
 )
 from busweave.schemas import DEFINITION_FIELDS
 
@@ -139,4 +140,4 @@ def lookup_signal_definition(requests: DataFrame, flat: DataFrame) -> DataFrame:
     keyed = requests.withColumns(
         {"_message": F.lower("message"), "_signal": F.lower("signal")}
     )
-    return keyed.join(first, keys, "left").drop("_message", "_signal")
+    return keyed.join(merged(first), keys, "left").drop("_message", "_signal")

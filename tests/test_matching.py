@@ -175,3 +175,22 @@ def test_accuracy_levels(spark):
     assert [r["line_no"] for r in ACC.accuracy_missing(truth, found).collect()] == [5]
     empty = ACC.accuracy_report(truth.limit(0), found).first()
     assert empty["accuracy"] == 0.0
+
+
+def small_file(spark, tmp_path, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    return spark.read.schema(schema).parquet(f"{tmp_path}/{name}")
+
+
+def test_requests_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    """A file of a few bytes may hold, or be exploded to, millions of requests."""
+    names = small_file(spark, tmp_path, "names", [("VHAL_n",), ("N__s_rx_v",)], "query_signal string")
+    catalogue = small_file(spark, tmp_path, "catalogue", [(1, "N", True, 7, 8, "rx")], CATALOGUE)
+    schema = "line_no bigint, time string, type string, service_id bigint, method_id bigint, payload string"
+    messages = small_file(spark, tmp_path, "messages", [(1, "t1", "rx", 7, 8, "aa")], schema)
+    looked = MAT.lookup_catalogue_message(MAT.parse_properties(names), catalogue)
+    hits = MAT.matched_messages(looked, messages)
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    found = DIC.lookup_signal_definition(looked, flat(spark))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["query_signal"] for r in hits.collect()) == ["N__s_rx_v", "VHAL_n"]
