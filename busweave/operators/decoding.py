@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from busweave.functions import frames as B
 from busweave.operators.computed import with_computed
+from busweave.operators.lookup import merged
 from busweave.operators.matching import MESSAGE_COLUMNS, matched_messages, unmatched_requests
 from busweave.schemas import DEFINITION_FIELDS
 
@@ -93,7 +94,7 @@ def decode_requests(
     payload = F.col("payload")
     empty = payload.isNull() | (payload == "")
     can = looked_up.filter(F.coalesce("is_can", F.lit(False)))
-    parts = can.join(_definition_parts(definitions), "query_signal").withColumnRenamed(
+    parts = can.join(merged(_definition_parts(definitions)), "query_signal").withColumnRenamed(
         "_frame_id", "_asked_id"
     )
     framed = with_frame(messages.filter(~empty))

@@ -194,3 +194,12 @@ def test_requests_of_a_small_file_are_not_broadcast(spark, tmp_path):
     found = DIC.lookup_signal_definition(looked, flat(spark))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["query_signal"] for r in hits.collect()) == ["N__s_rx_v", "VHAL_n"]
+
+
+def test_rows_are_dealt_out_before_a_task_sorts_them(spark):
+    """A scan task may hold any number of rows, a hot key too: they meet one per key and task."""
+    frame = spark.range(0, 5000, 1, 1).selectExpr("id % 3 AS k", "id AS n", "concat('v', id) AS v")
+    picked = LOOK.first_match_per_key(frame, ["k"], "n")
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.rindex("Exchange hashpartitioning(k") > plan.rindex("partial_min_by")
+    assert sorted(tuple(r) for r in picked.collect()) == [(0, 0, "v0"), (1, 1, "v1"), (2, 2, "v2")]
