@@ -140,3 +140,71 @@ def test_results_do_not_depend_on_the_zone(spark, tmp_path):
         assert sorted((r["ts"], r["value"]) for r in got.collect()) == sorted((at, float(i)) for i, at in enumerate(hours))
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+class Store:
+    """A key's list and value state, with the largest number of rows handed over at once."""
+
+    def __init__(self):
+        self.rows, self.value, self.most = [], None, 0
+
+    def get(self):
+        return self.value if self.value is not None else iter(self.rows)
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.rows, self.value = [], None
+
+    def appendList(self, rows):
+        self.most = max(self.most, len(rows))
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = []
+        self.appendList(rows)
+
+
+class Handle:
+    def __init__(self):
+        self.buffer, self.kept, self.timers = Store(), Store(), []
+
+    def getListState(self, *_):
+        return self.buffer
+
+    def getValueState(self, *_):
+        return self.kept
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_key_with_many_rows_is_handed_over_in_parts(spark):
+    import pandas as pd
+
+    n, handle = 45_000, Handle()
+    step = states.ChangePoints(("k",), ["at_us", "line_no", "value"])
+    step.init(handle)
+    order = random.Random(7).sample(range(n), n)
+    frames = [
+        pd.DataFrame({"at_us": order[i : i + 9000], "line_no": order[i : i + 9000], "value": [float(x // 2) for x in order[i : i + 9000]]})
+        for i in range(0, n, 9000)
+    ] + [pd.DataFrame({"at_us": [5], "line_no": [0], "value": [None]})]
+    first = list(step.handleInputRows(("a",), iter(frames), At(0)))
+    assert [list(frame["line_no"]) for frame in first] == [[0]]
+    assert handle.buffer.most <= 10_000 and handle.timers
+    out = pd.concat(step.handleExpiredTimer(("a",), At(10**9), None))
+    assert list(out["line_no"]) == list(range(2, n, 2))
+    assert set(out["k"]) == {"a"} and not handle.buffer.rows
