@@ -36,7 +36,12 @@ def name_postings(names: DataFrame, order: str = "line_key") -> DataFrame:
 
 
 def write_name_index(names: DataFrame, path: str, order: str = "line_key") -> None:
-    """Postings, run counts and names below ``path``; ``order`` is unique per name row."""
+    """Postings, run counts and names below ``path``; ``order`` is unique per name row.
+
+    Names are dealt out first: a scan task may hold any number of them, and each
+    becomes dozens of postings, twice, since range partitioning takes a sample.
+    """
+    names = names.select(F.col(order), "name").repartition(order)
     postings = name_postings(names, order)
     spread = postings.repartitionByRange("run", "place").sortWithinPartitions("run", "place")
     spread.write.parquet(f"{path}/postings")

@@ -71,3 +71,13 @@ def test_index_finds_what_a_scan_finds(spark, index, query):
 def test_search_reads_only_its_runs(spark, index):
     plan = names.indexed_search(spark, index[1], "speedx", 10)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(run" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_names_of_one_task_are_dealt_out_before_they_become_postings(spark, tmp_path, monkeypatch):
+    seen = []
+    postings = names.name_postings
+    monkeypatch.setattr(names, "name_postings", lambda table, order: seen.append(table) or postings(table, order))
+    table = spark.range(0, 500, 1, 1).selectExpr("id AS line_key", "concat('N', id) AS name")
+    names.write_name_index(table, f"{tmp_path}/i")
+    assert "RepartitionByExpression [line_key" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert names.indexed_search(spark, f"{tmp_path}/i", "n49", 100).count() == 11
