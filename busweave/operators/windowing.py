@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from busweave import constants as K
 
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+# Fixed value: parts that the lines of each file are dealt into for a join by file.
+_FILE_PARTS = 64
 
 
 def _interval(seconds: float) -> Column:
@@ -85,18 +87,24 @@ def window_with_continuations(
 
     Per file the slice starts at the first line inside the window and stops at
     the first later line past it.  Both places are one small aggregate per
-    file; the lines themselves are only filtered.
+    file; the lines themselves are only filtered.  A few files may hold the whole
+    log, so their lines are dealt out by a hash of the key, and every part gets
+    the places of its file.
     """
     half = _interval(seconds)
     low, high = target - half, target + half
     ts, at = F.col("ts"), F.col(key)
     inside = ts.between(low, high)
+    dealt = lambda df: df.withColumn("_part", F.pmod(F.hash(key), F.lit(_FILE_PARTS)))
+    copied = lambda df: df.withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.lit(_FILE_PARTS - 1)))
+    )
 
     timed = lines.select(file, key, "ts")
     starts = timed.filter(inside).groupBy(file).agg(F.min(key).alias("_start"))
     stops = (
-        timed.filter(ts > high)
-        .join(starts, file)
+        dealt(timed.filter(ts > high))
+        .join(copied(starts), [file, "_part"])
         .filter(at > F.col("_start"))
         .groupBy(file)
         .agg(F.min(key).alias("_stop"))
@@ -106,8 +114,8 @@ def window_with_continuations(
         F.col("_stop").isNull() | (at < F.col("_stop"))
     )
     return (
-        lines.filter(inside | ts.isNull())
-        .join(bounds, file)
+        dealt(lines.filter(inside | ts.isNull()))
+        .join(copied(bounds), [file, "_part"])
         .filter(in_slice)
-        .drop("_start", "_stop")
+        .drop("_start", "_stop", "_part")
     )

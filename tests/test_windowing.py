@@ -41,6 +41,27 @@ def test_slice_equals_scan(spark, seed):
     assert {(r["file_path"], r["line_key"]) for r in got.collect()} == want
 
 
+def test_lines_of_one_file_meet_its_window_in_many_tasks(spark):
+    """A log may be one file: no task has to hold, or sort, all its lines."""
+    frame = spark.range(0, 8000, 1, 4).selectExpr(
+        "'f' AS file_path", "id AS line_key",
+        f"CASE WHEN id = 0 THEN {TARGET} WHEN id >= 6000 THEN {TARGET} + INTERVAL 1 HOUR END AS ts",
+    )
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = W.window_with_continuations(frame, F.expr(TARGET))
+        tasks = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert got.columns == frame.columns
+        assert sorted(r["line_key"] for r in got.collect()) == list(range(6000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 3000
+
+
 def test_window_ends_are_inside(spark):
     rows = [(s, NOON + timedelta(seconds=s)) for s in (-6, -5, 0, 5, 6)] + [(99, None)]
     frame = spark.createDataFrame(rows, "n bigint, ts timestamp_ntz")
