@@ -1,8 +1,11 @@
 from pyspark.sql import functions as F
 
-from busweave.operators import accuracy as ACC, dictionary as DIC, lookup as LOOK, matching as MAT
+from busweave.operators import (
+    accuracy as ACC, decoding as DEC, dictionary as DIC, lookup as LOOK, matching as MAT,
+)
 from busweave.plans.analysis import analyze_properties, window_messages
 from busweave.operators.series import all_points
+from busweave.session import settle
 from busweave.sources.records import flatten_signal_dictionary
 
 CATALOGUE = (
@@ -203,3 +206,20 @@ def test_rows_are_dealt_out_before_a_task_sorts_them(spark):
     plan = picked._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.rindex("Exchange hashpartitioning(k") > plan.rindex("partial_min_by")
     assert sorted(tuple(r) for r in picked.collect()) == [(0, 0, "v0"), (1, 1, "v1"), (2, 2, "v2")]
+
+
+def test_definitions_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    """Requests and their definitions meet by a merge; only distinct ids may be broadcast."""
+    names = small_file(spark, tmp_path, "names", [("N__s_rx_v",)], "query_signal string")
+    catalogue = small_file(spark, tmp_path, "catalogue", [(1, "N", True, 7, 8, "rx")], CATALOGUE)
+    schema = "line_no bigint, time string, type string, service_id bigint, method_id bigint, payload string"
+    messages = small_file(spark, tmp_path, "messages", [(1, "t1", "rx", 7, 8, None)], schema)
+    looked = settle(MAT.lookup_catalogue_message(MAT.parse_properties(names), catalogue))
+    definitions = settle(MAT.route_definitions(looked, flat(spark).select(
+        F.lit("none").alias("message_name"), F.lit(1).alias("row_no"), F.array(F.lit("s")).alias("signals")
+    ), flat(spark)))
+    decoded = DEC.decode_requests(looked, messages, definitions)
+    plan = decoded._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert plan.count("SortMergeJoin") == 3 and all("LeftAnti" in line for line in joins)
+    assert [(r["query_signal"], r["note"]) for r in decoded.collect()] == [("N__s_rx_v", DEC.NOTE_NO_PAYLOAD)]
