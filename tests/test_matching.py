@@ -223,3 +223,22 @@ def test_definitions_of_a_small_file_are_not_broadcast(spark, tmp_path):
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert plan.count("SortMergeJoin") == 3 and all("LeftAnti" in line for line in joins)
     assert [(r["query_signal"], r["note"]) for r in decoded.collect()] == [("N__s_rx_v", DEC.NOTE_NO_PAYLOAD)]
+
+
+def test_results_per_property_broadcast_no_requests(spark, tmp_path):
+    """Requests of small files meet catalogue and messages by merges, repeated ones and misses too."""
+    asked = [("VHAL_n",), ("N__s_rx_v",), ("N__s_rx_v",), ("VHAL_m",), ("VHAL_absent",), ("bad",)]
+    names = small_file(spark, tmp_path, "names", asked, "query_signal string")
+    kinds = [(1, "N", True, 7, 8, "rx"), (2, "M", True, 7, 9, "rx")]
+    catalogue = small_file(spark, tmp_path, "catalogue", kinds, CATALOGUE)
+    schema = "line_no bigint, time string, type string, service_id bigint, method_id bigint, payload string"
+    heard = [(i, "t", "rx", 7, 8, "aa") for i in range(3)]
+    messages = small_file(spark, tmp_path, "messages", heard, schema)
+    looked = MAT.lookup_catalogue_message(MAT.parse_properties(names), catalogue)
+    counts = MAT.match_messages(looked, messages).groupBy("query_signal").agg(
+        F.count("*").alias("rows"), F.count_if("matched").alias("matches")
+    )
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert all("LeftAnti" in line for line in joins if "Broadcast" in line) and "SortMergeJoin" in plan
+    assert sorted(map(tuple, counts.collect())) == [("N__s_rx_v", 6, 6), ("VHAL_m", 1, 0), ("VHAL_n", 3, 3)]
